@@ -18,6 +18,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # many small stores: do not reserve log space ahead for each of them
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
