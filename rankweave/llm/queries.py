@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op2_secret_linking": secrets.op2_secret_linking,
+        "op5_simhash": simhash.op5_simhash,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op9_pareto_mixing": mixing.op9_pareto_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_secret_linking": secrets.SQL_OP2,
         "op6_exact_dedup": exact_dedup.SQL_OP6,
+        "op9_pareto_mixing": mixing.SQL_OP9,
     }
