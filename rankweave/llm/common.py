@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
     """Slices of whole rows holding at most ``most`` bytes of ``column``, so that work arrays stay small."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
-        sizes = pa.compute.binary_length(values).to_pylist()
+        sizes = pc.binary_length(values).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             n = n or 0
@@ -87,3 +88,10 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             total += n
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize, small, text_of
+from .common import WORD, documents, fresh, materialize, small, text_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -127,12 +127,10 @@ def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``. Ids are unique there."""
-    copies = pareto_mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    return (
-        docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*docs.columns)
-    )
+    times, at = fresh(docs, "times"), fresh(docs, "taken_id")
+    copies = pareto_mix(docs).where("copies > 0").select(F.col("doc_id").alias(at), F.col("copies").cast("int").alias(times))
+    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies[at]))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*docs.columns)
 
 
 SQL_OP9 = rf"""

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secrets, simhash
+from . import exact_dedup, mixing, nbsvm, quality_rules, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op2_secret_linking": secrets.op2_secret_linking,
+        "op3_nbsvm_quality": nbsvm.op3_nbsvm_quality,
         "op5_simhash": simhash.op5_simhash,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
+        "op10_llr_quality": quality_rules.op10_llr_quality,
     }
 
 
