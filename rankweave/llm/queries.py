@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, nbsvm, quality_rules, secrets, simhash
+from . import exact_dedup, mixing, nbsvm, quality_rules, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_nbsvm_quality": nbsvm.op3_nbsvm_quality,
         "op5_simhash": simhash.op5_simhash,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_counterfactual_toxicity": toxicity.op7_counterfactual_toxicity,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "op10_llr_quality": quality_rules.op10_llr_quality,
     }
