@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, nbsvm, quality_rules, secrets, simhash, toxicity
+from . import exact_dedup, mixing, nbsvm, packing, quality_rules, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_counterfactual_toxicity": toxicity.op7_counterfactual_toxicity,
+        "op8_linear_grouping": packing.op8_linear_grouping,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "op10_llr_quality": quality_rules.op10_llr_quality,
     }
