@@ -48,7 +48,8 @@ def target_table(sources: DataFrame, share: float = SHARE, most: float = MOST, w
     w = (
         w.withColumn("total", share * F.sum("source_size").over(everyone))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / (F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))))
-        .withColumn("fits", F.min(F.when(F.col("level") <= F.col("turn"), F.col("level"))).over(everyone))
+        .withColumn("place", F.row_number().over(Window.orderBy("turn", F.col("source").isNull(), "source")))
+        .withColumn("fits", F.min(F.when(F.col("level") <= F.col("turn"), F.struct("place", "level"))).over(everyone)["level"])
     )
     return w.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("fits"), F.col("cap"))).alias("target"))
 
@@ -149,7 +150,8 @@ WITH d AS (
          coalesce(sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_before
   FROM s
 ), f AS (
-  SELECT *, min(CASE WHEN (total - cap_before) / (all_w - w_before) <= cap / weight THEN (total - cap_before) / (all_w - w_before) END) OVER () AS fits FROM l
+  SELECT *, arg_min(level, place) FILTER (level <= cap / weight) OVER () AS fits
+  FROM (SELECT *, (total - cap_before) / (all_w - w_before) AS level, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS place FROM l)
 ), t AS (
   SELECT source, source_size, least(cap, coalesce(weight * fits, cap)) AS target FROM f
 ), e AS (
