@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, nbsvm, packing, quality_rules, secrets, simhash, toxicity
+from . import exact_dedup, mixing, nbsvm, packing, quality_rules, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_secret_linking": secrets.op2_secret_linking,
         "op3_nbsvm_quality": nbsvm.op3_nbsvm_quality,
+        "op4_chunked_warc": warc.op4_chunked_warc,
         "op5_simhash": simhash.op5_simhash,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_counterfactual_toxicity": toxicity.op7_counterfactual_toxicity,
@@ -21,6 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_secret_linking": secrets.SQL_OP2,
+        "op4_chunked_warc": warc.SQL_OP4,
         "op6_exact_dedup": exact_dedup.SQL_OP6,
         "op9_pareto_mixing": mixing.SQL_OP9,
     }
