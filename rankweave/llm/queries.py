@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, nbsvm, packing, quality_rules, secrets, simhash, toxicity, warc
+from . import exact_dedup, html_extract, mixing, nbsvm, packing, quality_rules, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_block_labeller": html_extract.op1_block_labeller,
         "op2_secret_linking": secrets.op2_secret_linking,
         "op3_nbsvm_quality": nbsvm.op3_nbsvm_quality,
         "op4_chunked_warc": warc.op4_chunked_warc,
