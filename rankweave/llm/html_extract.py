@@ -325,7 +325,7 @@ class Labeller:
         return float(-(np.where(mask, target * np.log(s + 1e-7) + (1 - target) * np.log(1 - s + 1e-7), 0)).sum() / mask.sum())
 
 
-MAIN, OTHER = "", ""
+MAIN, OTHER = "\ue000", "\ue001"  # private characters that no page uses
 
 
 def labelled_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
