@@ -215,7 +215,7 @@ def near_pairs_forest(points: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """v, root (smallest vertex of its component) of every vertex that has an edge. Every round is written to the
+    """v, root (smallest vertex of its component) of every vertex with an edge that is not a root itself. Every round is written to the
     shared folder; hubs are pre-aggregated, and their edges may be split by adaptive execution."""
     edges = materialize(edges.where("a <> b").distinct(), "cc-edges")
     seen = None
