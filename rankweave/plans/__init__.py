@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_queries() -> dict:
     """name -> (query, SQL or None)."""
-    from . import learned, lexical, logs, ranking, semantic
+    from . import checks, learned, lexical, logs, ranking, semantic
 
-    return logs.QUERIES | ranking.QUERIES | lexical.QUERIES | semantic.QUERIES | learned.QUERIES
+    return logs.QUERIES | ranking.QUERIES | lexical.QUERIES | semantic.QUERIES | checks.QUERIES | learned.QUERIES
