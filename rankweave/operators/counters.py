@@ -39,13 +39,9 @@ def exposures_and_clicks(log: DataFrame, keep: list[str], windows: dict[str, int
     """Exposures and clicks of every log row's article strictly before its instant, over everything and over sliding
     windows [t - w, t) of w hours: ``exposures_<name>``, ``clicks_<name>``, ``ctr_<name>`` (null if never exposed)."""
     events = log.select(key, "us", F.lit(1).cast("long").alias("exposures"), F.col("label").cast("long").alias("clicks"))
-    probes = None
-    for name, hours in windows.items():
-        at = F.col("us") - F.lit(int((hours or 0) * HOUR_US))
-        p = log.select(key, at.alias("us"), *keep, F.lit(name).alias("_window"))
-        probes = p if probes is None else probes.unionByName(p)
-    if "cumulative" not in windows:
-        probes = probes.unionByName(log.select(key, "us", *keep, F.lit("cumulative").alias("_window")))
+    # every window start of a row in one pass over the log
+    starts = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(int((h or 0) * HOUR_US)).alias("back")) for n, h in ({"cumulative": None} | windows).items()])
+    probes = log.select(key, "us", *keep, F.explode(starts).alias("_s")).select(key, (F.col("us") - F.col("_s.back")).alias("us"), *keep, F.col("_s.n").alias("_window"))
     read = counts_before(events, probes, key, ["exposures", "clicks"], [*keep, "_window"])
     at = {n: [F.max(F.when(F.col("_window") == n, F.col(c))).alias(f"_{c}_{n}") for c in ("exposures", "clicks")] for n in {*windows, "cumulative"}}
     wide = read.groupBy(key, *keep).agg(*[x for v in at.values() for x in v])
@@ -71,7 +67,8 @@ def whole_log(log: DataFrame, key: str = "article_id") -> DataFrame:
 def leaky_sliding(log: DataFrame, keep: list[str], hours: int, key: str = "article_id") -> DataFrame:
     """The leaky sliding read [t, t + w): what comes before t + w less what comes before t."""
     events = log.select(key, "us", F.lit(1).cast("long").alias("exposures"), F.col("label").cast("long").alias("clicks"))
-    probes = log.select(key, "us", *keep, F.lit(0).alias("_end")).unionByName(log.select(key, (F.col("us") + F.lit(int(hours * HOUR_US))).alias("us"), *keep, F.lit(1).alias("_end")))
+    ends = F.explode(F.array(F.lit(0), F.lit(1))).alias("_end")
+    probes = log.select(key, "us", *keep, ends).withColumn("us", F.col("us") + F.col("_end") * F.lit(int(hours * HOUR_US)))
     read = counts_before(events, probes, key, ["exposures", "clicks"], [*keep, "_end"])
     end = lambda c: (F.max(F.when(F.col("_end") == 1, F.col(c))) - F.max(F.when(F.col("_end") == 0, F.col(c)))).alias(c)
     return read.groupBy(key, *keep).agg(end("exposures"), end("clicks"))

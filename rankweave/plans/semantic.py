@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import features, metrics, vectors, weighting
@@ -11,6 +13,11 @@ from .base import ARTICLES, CLICKS, IMPRESSIONS, LOG, VECTORS, WINDOW, sql
 EVERY = 50
 
 
+def _round(value, digits: int):
+    """Rounded, with one zero: a tiny negative value would become minus zero."""
+    return F.round(value, digits) + F.lit(0.0)
+
+
 def _window(s, d):
     log = base.basket_log(s, d)
     return log, weighting.last_clicks(base.impressions(log), base.clicks(log))
@@ -19,7 +26,7 @@ def _window(s, d):
 def _weights(scheme, **kw):
     def run(s, d):
         w = _window(s, d)[1].withColumn("_w", weighting.weight(scheme, **kw))
-        return w.select("impression_id", "article_id", "age", F.round(weighting.normalised(F.col("_w")), 9).alias("weight"))
+        return w.select("impression_id", "article_id", "age", _round(weighting.normalised(F.col("_w")), 9).alias("weight"))
 
     return run
 
@@ -27,13 +34,13 @@ def _weights(scheme, **kw):
 def user_vectors(s, d):
     """One row per dimension of the normalised mean of the clicked vectors."""
     u = vectors.user_vectors(_window(s, d)[1], base.vectors(s, d))
-    return u.select("impression_id", F.posexplode("vec").alias("dim", "x")).select("impression_id", "dim", F.round("x", 6).alias("x"))
+    return u.select("impression_id", F.posexplode("vec").alias("dim", "x")).select("impression_id", "dim", _round("x", 6).alias("x"))
 
 
 def ann_candidates_mean(s, d):
     log, w = _window(s, d)
     r = vectors.score_by_user(log.select("impression_id", "article_id", "pos", "label"), vectors.user_vectors(w, base.vectors(s, d)), base.vectors(s, d))
-    return r.select("impression_id", "article_id", F.round("score", 6).alias("score"))
+    return r.select("impression_id", "article_id", _round("score", 6).alias("score"))
 
 
 def _pooled(how):
@@ -42,7 +49,7 @@ def _pooled(how):
         v = base.vectors(s, d)
         kept = w.join(v.select("article_id"), "article_id", "left_semi").withColumn("weight", weighting.normalised(weighting.weight("position"), by="max" if how == "max" else "sum"))
         r = vectors.pool(vectors.pooled_similarity(log, kept, v), how)
-        return r.select("impression_id", "article_id", F.round("score", 6).alias("score"))
+        return r.select("impression_id", "article_id", _round("score", 6).alias("score"))
 
     return run
 
@@ -50,20 +57,20 @@ def _pooled(how):
 def ann_topk(s, d):
     v = base.vectors(s, d)
     r = vectors.top_k(v.where(F.col("article_id") % EVERY == 0).select(F.col("article_id").alias("query_id"), "vec"), v, 10)
-    return r.select("query_id", "article_id", F.round("score", 6).alias("score"), "rank")
+    return r.select("query_id", "article_id", _round("score", 6).alias("score"), "rank")
 
 
 def centre_vectors(s, d):
     c = vectors.centre(base.vectors(s, d))
-    return c.select("article_id", F.posexplode("vec").alias("dim", "x")).select("article_id", "dim", F.round("x", 6).alias("x"))
+    return c.select("article_id", F.posexplode("vec").alias("dim", "x")).select("article_id", "dim", _round("x", 6).alias("x"))
 
 
 def anisotropy(s, d):
-    return vectors.anisotropy(base.vectors(s, d)).select("n", F.round("anisotropy", 8).alias("anisotropy"))
+    return vectors.anisotropy(base.vectors(s, d)).select("n", _round("anisotropy", 8).alias("anisotropy"))
 
 
 def unit_norm_guard(s, d):
-    return vectors.not_unit(base.vectors(s, d)).select("article_id", F.round("norm", 5).alias("norm"))
+    return vectors.not_unit(base.vectors(s, d)).select("article_id", _round("norm", 5).alias("norm"))
 
 
 def quantise_int8(s, d):
@@ -103,12 +110,12 @@ def align_vectors(s, d):
 def category_share(s, d):
     log, w = _window(s, d)
     r = features.category_share(log, w, base.articles(s, d), "category", "category_share")
-    return r.select("impression_id", "article_id", F.round("category_share", 9).alias("category_share"))
+    return r.select("impression_id", "article_id", _round("category_share", 9).alias("category_share"))
 
 
 def engagement_means(s, d):
     r = features.engagement_means(_window(s, d)[1])
-    return r.select("impression_id", F.round("past_dwell", 8).alias("past_dwell"), F.round("past_depth", 8).alias("past_depth"))
+    return r.select("impression_id", _round("past_dwell", 8).alias("past_dwell"), _round("past_depth", 8).alias("past_depth"))
 
 
 _PROFILES = {k: features.PROFILES[k] for k in ("uniform", "pos90", "t24", "engagement")}
@@ -117,7 +124,7 @@ _PROFILES = {k: features.PROFILES[k] for k in ("uniform", "pos90", "t24", "engag
 def cosine_profiles(s, d):
     log, w = _window(s, d)
     r = features.cosine_profiles(log, w, base.vectors(s, d), _PROFILES)
-    return r.select("impression_id", "article_id", *[F.round(c, 6).alias(c) for c in r.columns[2:]])
+    return r.select("impression_id", "article_id", *[_round(c, 6).alias(c) for c in r.columns[2:]])
 
 
 def feature_frame(s, d):
@@ -126,7 +133,7 @@ def feature_frame(s, d):
     f = features.frame(log, base.clicks(log), base.articles(s, d), base.vectors(s, d), {"bm25": metrics.rank(base.popularity(log))})
     keep = ("impression_id", "article_id", "pos", "label", "n_candidates", "n_clicks", "exposures_cumulative", "clicks_cumulative", "exposures_24h", "session_impressions", "session_clicks", "bm25_score", "bm25_rank")
     doubles = ("ctr_cumulative", "category_share", "subcategory_share", "past_dwell", "past_depth", "freshness_hours", "hist_cos_mean_uniform", "hist_cos_last")
-    return f.select(*keep, *[F.round(c, 6).alias(c) for c in doubles])
+    return f.select(*keep, *[_round(c, 6).alias(c) for c in doubles])
 
 
 _NORM = "OVER (PARTITION BY impression_id)"
@@ -292,3 +299,6 @@ ce AS (SELECT article_id, dim, x - avg(x) OVER (PARTITION BY dim) AS x FROM fl)"
     "cosine_profiles": (cosine_profiles, _profile_sql()),
     "feature_frame": (feature_frame, _FRAME),
 }
+
+# the same single zero in SQL
+QUERIES = {k: (f, q and re.sub(r"(, \d\)) AS (?=\w)", r"\1 + 0 AS ", q)) for k, (f, q) in QUERIES.items()}
