@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 #: Most bytes of text that a Python worker looks at together; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
