@@ -305,9 +305,10 @@ FROM (SELECT impression_id, article_id, pos, a.score, b.rank AS stage_rank FROM
         negative_samples,
         sql(
             LOG,
-            body="""SELECT impression_id, positive, negative, slot::INT AS slot FROM (
-  SELECT p.impression_id, p.article_id AS positive, n.article_id AS negative, row_number() OVER (PARTITION BY p.impression_id, p.article_id ORDER BY md5('0:' || p.impression_id || ':' || p.article_id || ':' || n.article_id)) AS slot
-  FROM log p JOIN log n ON n.impression_id = p.impression_id AND p.label = 1 AND n.label = 0) WHERE slot <= 2""",
+            body="""SELECT impression_id, positive, negative, unnest(generate_series(f, 2, m))::INT AS slot FROM (
+  SELECT p.impression_id, p.article_id AS positive, n.article_id AS negative, count(*) OVER (PARTITION BY p.impression_id, p.article_id) AS m,
+         row_number() OVER (PARTITION BY p.impression_id, p.article_id ORDER BY md5('0:' || p.impression_id || ':' || p.article_id || ':' || n.article_id)) AS f
+  FROM log p JOIN log n ON n.impression_id = p.impression_id AND p.label = 1 AND n.label = 0) WHERE f <= 2""",
         ),
     ),
 }

@@ -46,7 +46,7 @@ def test_counters_share_one_exchange_per_key(spark):
     assert plan({"cumulative": None}) == plan({"cumulative": None, "1h": 1, "24h": 24})
 
 
-@pytest.mark.parametrize("name", ["quant_recall", "ivf_topk", "abtt", "whiten", "attention_ranker"])
+@pytest.mark.parametrize("name", ["quant_recall", "ivf_topk", "abtt", "whiten", "attention_ranker", "lexical_chain", "profile_sweep", "correction_grid", "fusion_gap"])
 def test_query_without_sql_runs(spark, name):
     df = plans.all_queries()[name][0](spark, D)
     assert df.count() > 0
