@@ -39,7 +39,12 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: within a lambda, a captured expression runs again per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(a: Column) -> Column:
     """The vector at length 1; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    scaled = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return let(a, lambda v: let(norm(v), lambda n: scaled(v, n)))

@@ -46,7 +46,7 @@ def centre(vectors: DataFrame, key: str = "article_id") -> DataFrame:
 
 def anisotropy(vectors: DataFrame) -> DataFrame:
     """Mean cosine of different vectors in one pass: (|sum u|^2 - n) / (n (n - 1)), no pairs."""
-    u = vectors.select(unit(F.col("vec")).alias("u")).where(dot(F.col("u"), F.col("u")) > 0)
+    u = vectors.where(dot(F.col("vec"), F.col("vec")) > 0).select(unit(F.col("vec")).alias("u"))
     n = u.agg(F.count(F.lit(1)).alias("n"))
     s = u.select(F.posexplode("u").alias("d", "x")).groupBy("d").agg(F.sum("x").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
     return s.join(n).select("n", F.when(F.col("n") > 1, (F.col("ss") - F.col("n")) / (F.col("n") * (F.col("n") - 1.0))).alias("anisotropy"))
