@@ -1,0 +1,127 @@
+"""The pipeline's near-duplicate stage: texts whose sets of 5-word runs have a Jaccard similarity of 0.8 or more.
+
+Words are lower-cased (A-Z) and split at white space. ``BANDS`` keys of ``ROWS`` minimum hashes each make two texts
+candidates if any key is equal; a pair at exactly 0.8 shares none with a chance of (1 - 0.8**4)**32, about 5e-8. Every
+candidate pair is then checked on its full sets. A key with many texts is first worked off by leaders - every text
+against one text of the key - and only texts still in different components are paired, so a large group of near copies
+costs time in proportion to its texts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import blocks, materialize, small, text_of
+from .simhash import components
+from .wordhash import LOWER, U, Words, mix, text_buffer
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 32, 4
+#: All remaining pairs of the keys are checked once they are at most so many per text of a key, once a round of leaders leaves more than
+#: half of them, or after so many rounds.
+PAIRS_PER_ROW, LEADER_ROUNDS = 4, 6
+_A = np.random.default_rng(5).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | U(1)
+
+
+def shingle_sets(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct hashes of every text's runs of k words, ascending; a shorter text is one run, one without words the run 0."""
+    buf, offsets = text_buffer(column)
+    w = Words(LOWER[buf], offsets)
+    h, at = w.grams(k)
+    cuts = np.searchsorted(w.doc[at], np.arange(len(offsets)))
+    out = []
+    for d in range(len(offsets) - 1):
+        if cuts[d + 1] > cuts[d]:
+            out.append(np.unique(h[cuts[d] : cuts[d + 1]]))
+            continue
+        run = np.zeros(1, np.uint64)
+        for i in range(w.first[d], w.first[d + 1]):
+            run = mix(run * U(3) + w.hash[i : i + 1] + U(1))
+        out.append(run)
+    return out
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """BANDS keys of every set."""
+    flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
+    keys = np.empty((len(sets), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(sets), b + 1, np.uint64)
+        for a, c in _A[b * ROWS : (b + 1) * ROWS]:
+            key = mix(key * U(3) + np.minimum.reduceat(flat * a + c, starts))
+        keys[:, b] = key
+    return keys
+
+
+def _bands(docs: DataFrame) -> DataFrame:
+    """doc_id, n (distinct runs), key: a row per band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            sets = shingle_sets(b.column("text"))
+            columns = [np.repeat(b.column("doc_id").to_numpy(), BANDS), np.repeat([len(s) for s in sets], BANDS), band_keys(sets).ravel().view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "n", "key"])
+
+    return docs.where("doc_id is not null").select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n long, key long")
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose full sets are as similar as that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "_ta"):
+            first, second = shingle_sets(b.column("_ta")), shingle_sets(b.column("_tb"))
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(first, second)], np.int64)
+            either = np.array([len(x) + len(y) for x, y in zip(first, second)], np.int64) - both
+            yield b.filter(pa.array(both >= similarity * either - 1e-9)).select(["a", "b"])
+
+    text = lambda k: docs.select(F.col("doc_id").alias(k), text_of().alias(f"_t{k}"))
+    return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
+
+
+def similar_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """v, root (smallest doc_id of its component) of every document that is similar to another and not the root. Ids are unique; rows
+    with a null id are left out."""
+    bands = materialize(_bands(docs), "near-bands")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    left = materialize(bands.join(small(materialize(shared, "near-keys")), "key"), "near-shared")
+    ids = materialize(left.select(F.col("doc_id").alias("_id")).distinct(), "near-ids")
+    texts = materialize(docs.join(small(ids), docs["doc_id"] == F.col("_id"), "left_semi").select("doc_id", "text"), "near-texts")  # only of candidates
+    before = float("inf")
+    edges, roots = left.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), None
+    for turn in range(LEADER_ROUNDS + 1):
+        mine = left.withColumn("comp", F.col("doc_id"))
+        if roots is not None:
+            mine = left.join(small(roots), F.col("doc_id") == F.col("v"), "left").select("doc_id", "n", "key", F.coalesce("root", "doc_id").alias("comp"))
+        sizes = mine.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"))
+        open_keys = materialize(sizes.where("s * s > ss"), "near-open")
+        rows, many = open_keys.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("ss")) / 2)).first()
+        if not rows:
+            break
+        last = many <= PAIRS_PER_ROW * rows or many > before / 2 or turn == LEADER_ROUNDS
+        before = many
+        mine = mine.join(small(open_keys.select("key")), "key")
+        side = lambda k: F.struct(F.col("doc_id").alias("id"), "n", "comp").alias(k)
+        if last:
+            other = mine.select("key", side("y"))
+        else:
+            other = mine.groupBy("key").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), "n", "comp"), F.xxhash64("doc_id", F.lit(turn))).alias("y"))
+        near = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9  # a set is no more similar than the sizes
+        pairs = mine.select("key", side("x")).join(other, "key").where((F.col("x.comp") != F.col("y.comp")) & near & ((F.col("x.id") < F.col("y.id")) if last else (F.col("x.id") != F.col("y.id"))))
+        pairs = materialize(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "near-pairs")
+        edges = materialize(edges.unionByName(_similar(pairs, texts, similarity)), "near-edges")
+        roots = components(edges)
+        if last:
+            break
+    return left.select(F.col("doc_id").alias("v"), F.col("doc_id").alias("root")).limit(0) if roots is None else roots
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each component (its smallest id), with the columns of ``docs``. Ids are unique there; a row without an id stays."""
+    gone = similar_components(docs, similarity).select(F.col("v").alias("_gone"))
+    return docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rankweave.llm import exact_dedup, html_extract, mixing, nbsvm, packing, quality_rules, secrets, simhash, toxicity, warc
+from rankweave.llm import exact_dedup, html_extract, mixing, nbsvm, near_dedup, packing, quality_rules, secrets, simhash, toxicity, warc
 from rankweave.llm.wordhash import Words, text_buffer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -142,6 +142,40 @@ def test_components(spark):
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
 
 
+
+# ---- near copies in the pipeline
+
+
+def brute_runs(text):
+    w = W.findall((text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+@pytest.mark.parametrize("budget", [near_dedup.PAIRS_PER_ROW, 0])
+def test_pipeline_near_copies_are_all_pairs_of_five_word_similarity(spark, monkeypatch, budget):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_dedup, "PAIRS_PER_ROW", budget)  # 0: leaders first
+    r = random.Random(4)
+    texts = [t for t in AWKWARD if t is None or len(t) < 1000]
+    for k in range(40):
+        words = ["".join(r.choice("abcdef") for _ in range(5)) for _ in range(120 if k else 300)]
+        for _ in range(3 if k else 30):  # one large group
+            copy = words[:]
+            for _ in range(r.randrange(5 if k else 9)):
+                copy[r.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy))
+    sets, comp = [brute_runs(t) for t in texts], list(range(len(texts)))
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in range(5):
+        for i, j in near:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    df = make(spark, texts, extra=True)
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({c + 1 for c in comp})
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
 # ---- secrets
 
 
