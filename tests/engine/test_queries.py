@@ -56,3 +56,9 @@ def test_approximate_search_is_a_subset_of_good_recall(spark):
     exact = {(r.query_id, r.article_id) for r in plans.all_queries()["ann_topk"][0](spark, D).collect()}
     got = {(r.query_id, r.article_id) for r in plans.all_queries()["ivf_topk"][0](spark, D).collect()}
     assert got and len({q for q, _ in got}) == len({q for q, _ in exact})
+
+
+def test_approximate_search_reaches_its_recall(spark):
+    exact = {(r.query_id, r.article_id) for r in plans.all_queries()["ann_topk"][0](spark, D).collect()}
+    got = {(r.query_id, r.article_id) for r in plans.all_queries()["ivf_topk"][0](spark, D).collect()}
+    assert len(exact & got) >= 0.9 * len(exact)
