@@ -14,12 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, labels, text_of
+from .common import blocks, documents, labels, small, text_of
 from .wordhash import U, WHITE, Words, mix, per_doc, range_hashes, text_buffer
 
 BITS = 14
-#: Most labelled documents that stand for the trusted target (those with the smallest hashes of their ids).
-TRUSTED = 20_000
 #: Least mean log-likelihood ratio of a document that stays.
 THRESHOLD = -0.055
 #: Weight of the raw shares in the trusted model, in n-grams: keeps unseen buckets finite.
@@ -70,27 +68,27 @@ def buckets(w: Words, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([w.hash, pairs]) >> U(64 - bits)).astype(np.int64), np.concatenate([w.doc, w.doc[at]])
 
 
-def _trusted_ids(labelled: DataFrame, most: int = TRUSTED) -> np.ndarray:
-    ids = labelled.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return np.sort(np.array([r.doc_id for r in ids.collect()], np.int64))
+def _marked(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """doc_id, text, trusted: every document labelled good is trusted."""
+    good = labelled.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
+    text = docs.select("doc_id", text_of().alias("text"))
+    return text.join(small(good), F.col("doc_id") == F.col("_good"), "left").select("doc_id", "text", F.col("_good").isNotNull().alias("trusted"))
 
 
 def fit_ratio(docs: DataFrame, labelled: DataFrame, bits: int = BITS, smooth: float = SMOOTH) -> np.ndarray:
-    """log(trusted share / raw share) of every bucket. Counts cover all documents; a task sends 2**bits sums at most."""
-    trusted = _trusted_ids(labelled)
-
+    """log(trusted share / raw share) of every bucket. Both counts cover all their documents; a task sends 2**bits sums at most."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         for b in blocks(batches):
             w = Words(*text_buffer(b.column("text")))
             bucket, doc = buckets(w, bits)
             raw += np.bincount(bucket, minlength=1 << bits)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            good += np.bincount(bucket[np.isin(ids, trusted)[doc]], minlength=1 << bits)
+            trusted = b.column("trusted").to_numpy(zero_copy_only=False)
+            good += np.bincount(bucket[trusted[doc]], minlength=1 << bits)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(good[used])], names=["bucket", "raw", "good"])
 
-    sums = docs.select("doc_id", text_of().alias("text")).mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+    sums = _marked(docs, labelled).mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
     raw, good = np.zeros(1 << bits), np.zeros(1 << bits)
     for r in sums.collect():  # 2**bits rows at most
         raw[r.bucket], good[r.bucket] = r.raw, r.good

@@ -387,6 +387,15 @@ def test_quality_counts(spark):
     assert quality_rules.quality_rules(make(spark, ["a"]).limit(0), labels.limit(0)).count() == 0
 
 
+def test_ratio_counts_every_trusted_document(spark):
+    docs = spark.range(20_200).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
+    got = quality_rules.fit_ratio(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    w = Words(*text_buffer(pa.array([f"w{i}" for i in range(20_200)])))
+    raw = np.bincount(quality_rules.buckets(w)[0], minlength=len(got))  # all are trusted: both models are the same counts
+    share = (raw + 1) / (raw.sum() + len(raw))
+    assert np.allclose(got, np.log((raw + quality_rules.SMOOTH * share) / (raw.sum() + quality_rules.SMOOTH)) - np.log(share))
+
+
 def test_words_across_chunks(monkeypatch):
     from rankweave.llm import wordhash
 
