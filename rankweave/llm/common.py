@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,9 +24,12 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset and
+    driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not spark.sparkContext.getCheckpointDir():
@@ -90,8 +94,11 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have yet."""
-    while name in df.columns:
-        name = f"_{name}"
-    return name
+def whole_row(df: DataFrame, columns: list[str] | None = None):
+    """The row (or these columns) as one struct ``row``: whatever the columns are called, they meet no other name."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in (df.columns if columns is None else columns)]).alias("row")
+
+
+def columns_of_row(names: list[str]) -> list:
+    """The columns that ``whole_row`` packed."""
+    return [F.col("row").getField(c).alias(c) for c in names]
