@@ -2,16 +2,21 @@
 
 A feed of ``(digest, doc_id, code points, locator)`` rows runs through Structured Streaming into RocksDB state keyed by
 the SHA-256 of the normalised text. A key's state is a count, the winner's stable identifier and its content locator
-(file part and row of the feed), never the text. Keys never expire. Hits (digests with more than one row) are then
-checked byte for byte against the text the locator points to; a digest shared by different texts is split by text.
+(feed, file part and row), never the text. Keys never expire: with a ``state`` folder of one's own, a later call adds a
+feed and goes on with all that was seen before.
+
+Hits (digests with more than one row) are checked byte for byte against the text that the locator points to. The state
+holds no text, so this is a join of the hits with the feed after the stream has run, not a comparison within the stream; a
+digest shared by different texts is split by text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from .common import WHITE, documents, materialize, remove, shared_dir, small, text_of
+from .common import WHITE, columns_of_row, documents, materialize, remove, shared_dir, small, text_of, whole_row
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -27,15 +32,34 @@ def normalized(column: str = "text") -> Column:
     return F.regexp_replace(text_of(column), WHITE, "")
 
 
-def write_feed(docs: DataFrame, path: str, digest: Column) -> None:
-    """Digest every row once. ``tag`` is part and row number within the feed: the content locator."""
+def write_feed(docs: DataFrame, path: str, digest: Column, columns: list[str]) -> int:
+    """Digest every row once and write it as the next feed below ``path``, with ``columns`` (the text among them) in a struct. ``feed``
+    and ``tag`` (part and row number within it) are the content locator. Returns the feed's number."""
+    spark = docs.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    number = sum(f.getPath().getName().startswith("feed=") for f in files.listStatus(at)) if files.exists(at) else 0
     (
-        docs.select("doc_id", F.length(text_of()).cast("long").alias("n_points"), normalized().alias("body"))
+        docs.select(
+            whole_row(docs, columns),
+            "doc_id",
+            F.length(text_of()).cast("long").alias("n_points"),
+            normalized().alias("body"),
+            F.monotonically_increasing_id().alias("tag"),
+        )
         .withColumn("digest", digest)
-        .withColumn("tag", F.monotonically_increasing_id())
+        .drop("body")
         .write.option("compression", "zstd")
-        .parquet(path)
+        .parquet(f"{path}/feed={number}")
     )
+    return number
+
+
+def feed_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All feeds below ``path``; the columns carried along are those of the first feed."""
+    first = spark.read.parquet(f"{path}/feed=0").schema.add("feed", IntegerType())
+    return spark.read.schema(first).parquet(path).withColumn("text", F.coalesce("row.text", F.lit("")))
 
 
 def run_stream(spark: SparkSession, feed: str, state: str, files_per_batch: int | None = None) -> None:
@@ -44,7 +68,7 @@ def run_stream(spark: SparkSession, feed: str, state: str, files_per_batch: int
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
-        reader = spark.readStream.schema(spark.read.parquet(feed).schema)
+        reader = spark.readStream.schema(feed_rows(spark, feed).drop("text").schema)
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
         # min over a struct: most code points, then smallest doc_id (nulls last), then first place
@@ -52,6 +76,7 @@ def run_stream(spark: SparkSession, feed: str, state: str, files_per_batch: int
             (-F.col("n_points")).alias("r0"),
             F.col("doc_id").isNull().alias("r1"),
             F.col("doc_id").alias("keep_id"),
+            F.col("feed").alias("keep_feed"),
             F.col("tag").alias("keep_tag"),
         )
         (
@@ -72,64 +97,71 @@ def run_stream(spark: SparkSession, feed: str, state: str, files_per_batch: int
 
 
 def read_state(spark: SparkSession, state: str) -> DataFrame:
-    """digest, n, keep_id, keep_tag of every key, read back from the state store."""
+    """digest, n, keep_id, keep_feed, keep_tag of every key, read back from the state store."""
     rows = spark.read.format("statestore").load(state)
     return rows.select(
         F.col("key.digest").alias("digest"),
         F.col("value.count").alias("n"),
         F.col("value.min.keep_id").alias("keep_id"),
+        F.col("value.min.keep_feed").alias("keep_feed"),
         F.col("value.min.keep_tag").alias("keep_tag"),
     )
 
 
-def exact_groups(docs: DataFrame, digest: Column | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, tag.
-
-    Defined results: null text counts as empty; all empty or blank texts are one group; a repeated row counts as a
-    further copy and only its first place is kept; null doc_id sorts after any other; other columns are ignored.
-    ``digest`` (over ``body``) may be replaced in tests to force collisions.
-    """
+def grouped(docs: DataFrame, columns: list[str], digest: Column | None = None, files_per_batch: int | None = None, state: str | None = None) -> DataFrame:
+    """row (these columns of ``docs``), doc_id, keep_id, group_size, kept, text_sha256, tag of every row of this call."""
     spark = docs.sparkSession
-    feed, state = shared_dir(spark, "dedup-feed"), shared_dir(spark, "dedup-state")
-    write_feed(docs, feed, F.sha2("body", 256) if digest is None else digest)
-    run_stream(spark, feed, state, files_per_batch)
-    kept_state = shared_dir(spark, "dedup-keys")
-    read_state(spark, state).write.option("compression", "zstd").parquet(kept_state)
-    remove(spark, state)
-    keys = spark.read.parquet(kept_state)
-    rows = spark.read.parquet(feed)
-    slim = rows.select("digest", "doc_id", "tag", "n_points")
+    root = state.rstrip("/") if state else shared_dir(spark, "dedup")
+    feed, keyed = f"{root}/feeds", f"{root}/state"
+    number = write_feed(docs, feed, F.sha2("body", 256) if digest is None else digest, columns)
+    run_stream(spark, feed, keyed, files_per_batch)
+    keys = materialize(read_state(spark, keyed), "dedup-keys")
+    if not state:
+        remove(spark, keyed)
+    rows = feed_rows(spark, feed)
 
     # hits only: full bytes against those at the locator; equal texts meet in partial sums before any shuffle
-    hits = small(keys.where("n > 1").select("digest", "keep_tag"))
+    at_locator = (F.col("feed") == F.col("keep_feed")) & (F.col("tag") == F.col("keep_tag"))
+    hits = small(keys.where("n > 1").select("digest", "keep_feed", "keep_tag"))
     bodies = (
-        rows.select("digest", "tag", "body")
+        rows.select("digest", "feed", "tag", "text")
         .join(hits, "digest")
-        .groupBy("digest", "body")
-        .agg(F.max((F.col("tag") == F.col("keep_tag")).cast("int")).alias("keeper"))
+        .groupBy("digest", normalized().alias("body"))
+        .agg(F.max(at_locator.cast("int")).alias("keeper"))
     )
     collided = materialize(bodies.where("keeper = 0").select("digest").distinct(), "dedup-false")
 
-    joined = slim.join(keys, "digest")
+    now = F.col("feed") == number
+    joined = rows.where(now).select("row", "digest", "doc_id", "feed", "tag").join(keys, "digest")
     if not collided.isEmpty():  # texts that differ under one digest: grouped by the text itself
         w = Window.partitionBy("digest", "body")
-        order = w.orderBy(F.col("n_points").desc(), F.col("doc_id").asc_nulls_last(), "tag")
+        order = w.orderBy(F.col("n_points").desc(), F.col("doc_id").asc_nulls_last(), "feed", "tag")
         split = (
             rows.join(collided, "digest", "left_semi")
+            .withColumn("body", normalized())
             .withColumn("n", F.count(F.lit(1)).over(w))
             .withColumn("keep_id", F.first("doc_id").over(order))
+            .withColumn("keep_feed", F.first("feed").over(order))
             .withColumn("keep_tag", F.first("tag").over(order))
-            .select("digest", "doc_id", "tag", "n_points", "n", "keep_id", "keep_tag")
+            .where(now)
+            .select("row", "digest", "doc_id", "feed", "tag", "n", "keep_id", "keep_feed", "keep_tag")
         )
         joined = joined.join(collided, "digest", "left_anti").unionByName(split)
-    return joined.select(
-        "doc_id",
-        "keep_id",
-        F.col("n").alias("group_size"),
-        (F.col("tag") == F.col("keep_tag")).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-        "tag",
-    )
+    return joined.select("row", "doc_id", "keep_id", F.col("n").alias("group_size"), at_locator.alias("kept"), F.col("digest").alias("text_sha256"), "tag")
+
+
+def exact_groups(docs: DataFrame, digest: Column | None = None, files_per_batch: int | None = None, state: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, tag.
+
+    With ``state`` (a folder that driver and executors share) the groups are those of all calls with it so far; the rows are
+    those of this call. A later call may name another row as the one that stays (a longer text with the same
+    characters); rows of earlier calls are not given out again.
+
+    Defined results: null text counts as empty; all empty or blank texts are one group; a repeated row counts as a
+    further copy and only its first place is kept; null doc_id sorts after any other; other columns are ignored.
+    ``digest`` (over ``body``) may be replaced in tests to force collisions.
+    """
+    return grouped(docs, ["doc_id", "text"], digest, files_per_batch, state).drop("row")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +169,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with the columns of ``docs``. Ids are taken to be unique there, as in any stage."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The row of each group that stays, with the columns of ``docs``. Rows are told apart by their place in the feed, not by
+    their ids: of repeated rows, and of equal texts without ids, one stays."""
+    return grouped(docs, docs.columns).where("kept").select(*columns_of_row(docs.columns))
 
 
 SQL_OP6 = r"""
