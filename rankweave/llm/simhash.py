@@ -1,20 +1,29 @@
 """SimHash near-duplicates through a forest of vantage-point trees.
 
-Texts become 64-bit fingerprints; equal fingerprints collapse to one point, so copies are never paired. Points closer
-than ``RADIUS`` bits are found exactly:
+Texts become fingerprints; equal fingerprints collapse to one point, so copies are never paired. Points at most ``RADIUS``
+bits apart (of 64) are found exactly:
 
 * A tree partitions points by Hamming distance to vantage points (at most the median: left, else right). On a search
   with radius r a branch is pruned if the triangle bound ``|d(q, v) - mu| > r`` rules it out, else both sides are
   visited: a query goes to every shard whose border its ball overlaps, a member lies in exactly one.
-* Distances of 64 random bits crowd around 32, so a tree over whole fingerprints with r = 2 would send nearly half of
-  all queries down both sides at every level. Each of ``BANDS`` trees therefore measures one half of the bits. Two
-  points at most 2 bits apart agree up to 1 bit in one half, so r = 1 suffices there and the forest finds all pairs.
-  Where points agree in their half (a dense cluster), a node measures all bits with r = 2 instead.
-* Inside a shard, candidates are looked up in the sorted half (equal or one bit flipped) and checked on all bits; for
-  points with very many candidates the 2,080 flips of the whole fingerprint are looked up instead, so that a dense
-  cluster costs time in proportion to its points. Only a spanning forest of the pairs leaves the shard.
+* Distances of random bits crowd around the median, so with r = 2 over whole fingerprints nearly half of all queries would go
+  down both sides at every level, and even r = 1 over half of the bits makes the visits grow as a power of the points. Two
+  points at most 2 bits apart agree on two of four quarters of 16 bits at least, so each of the six trees of ``BANDS`` measures
+  two quarters, where radius 0 suffices: a ball lies on one side of every border, and a point visits six shards at any size.
+  Where points agree in their band (a dense cluster), a node measures all bits with r = 2 instead; there balls do overlap borders.
+* A tree is grown on a bounded sample; leaves that hold more than a shard's worth are dealt out further by the band's value,
+  which loses nothing, since a tree has to find only those pairs that agree on its band.
+* Inside a shard, candidates are looked up in the sorted band and checked on all bits; for points with very many candidates
+  the 2,080 flips of the whole fingerprint are looked up instead, so that a dense cluster costs time in proportion to its
+  points. Only a spanning forest of the pairs leaves the shard.
 
 Components of the shards' forests are joined by alternating large-star and small-star steps on tables.
+
+``keep_one`` is the pipeline's stage: texts whose sets of 5-word runs have a Jaccard similarity of 0.8 or more. Such texts differ
+in 15 % of a fingerprint's bits, which no radius of a few bits reaches, and a tree with so wide a ball prunes nothing. There the
+same fingerprint is taken with 256 bits, the trees' place is taken by their limit at radius 0, equality on a band: any of
+``STAGE_BANDS`` bands of ``STAGE_BITS`` bits makes two texts candidates, their distance over all 256 bits rules out the chance
+ones, and full sets decide. See the README for its recall.
 """
 
 from __future__ import annotations
@@ -29,14 +38,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, materialize, text_of
+from .common import blocks, columns_of_row, documents, materialize, small, text_of, whole_row
+from .wordhash import LOWER, U, Words, mix, text_buffer
 
-RADIUS = 2
+RADIUS, BAND_RADIUS = 2, 0
 SHINGLE = 3
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-BANDS = (np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000))
-#: Points aimed at in a shard, least shards of a tree, and the most points that a forest is fitted on.
-SHARD, LEAST_SHARDS, SAMPLE = 50_000, 32, 200_000
+#: Two of four quarters of the bits.
+BANDS = tuple(np.uint64((0xFFFF << 16 * i) | (0xFFFF << 16 * j)) for i, j in combinations(range(4), 2))
+#: Points aimed at in a shard, least and most leaves of a tree (leaves beyond them are dealt out by value), and the most points that
+#: a forest is fitted on.
+SHARD, LEAST_SHARDS, MOST_SHARDS, SAMPLE = 50_000, 16, 1024, 200_000
 _FLIPS = np.array([0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i, j in combinations(range(64), 2)], dtype=np.uint64)
 
 
@@ -118,7 +130,7 @@ class Tree:
             if not len(at):
                 return
             d = np.bitwise_count((points[at] ^ self.vp[node]) & self.mask[node]).astype(np.int16)
-            r, mu = np.where(self.mask[node] == FULL, RADIUS, RADIUS // len(BANDS)).astype(np.int16), self.mu[node]
+            r, mu = np.where(self.mask[node] == FULL, RADIUS, BAND_RADIUS).astype(np.int16), self.mu[node]
             go = [d - r <= mu, d + r > mu]  # the triangle bounds
             own = [d <= mu, d > mu]
             at, home, node = (
@@ -129,10 +141,18 @@ class Tree:
 
 
 def build_forest(sample: np.ndarray, n: int) -> list[Tree]:
-    shards = max(LEAST_SHARDS, -(-n // SHARD))
+    shards = min(max(LEAST_SHARDS, -(-n // SHARD)), MOST_SHARDS)
     return [Tree(sample, band, shards) for band in BANDS]
 
 
+def splits(tree: Tree, sample: np.ndarray, n: int) -> np.ndarray:
+    """Into how many parts the members of each leaf are dealt out by their band's value, from the sample's share of ``n`` points."""
+    held = np.zeros(tree.shards, np.int64)
+    for _, shard, _ in tree.visit(sample):
+        held += np.bincount(shard, minlength=tree.shards)
+    return np.maximum(1, np.ceil(held * (n / max(len(sample), 1)) / SHARD)).astype(np.int64)
+
+
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Union the pairs into the labels; a label is the smallest index of its set."""
     while True:
@@ -156,10 +176,8 @@ def shard_forest(members: np.ndarray, queries: np.ndarray, band: np.uint64, bloc
     label, key = np.arange(len(points)), members & band
     order = np.argsort(key, kind="stable")
     key, members = key[order], members[order]
-    flips = [np.uint64(0)] + [np.uint64(1 << i) for i in range(64) if int(band) >> i & 1]
-    spans = [(np.searchsorted(key, (queries & band) ^ f, "left"), np.searchsorted(key, (queries & band) ^ f, "right")) for f in flips]
-    total = sum(hi - lo for lo, hi in spans) if len(queries) else np.zeros(0, int)
-    dense = total > 4 * len(_FLIPS)
+    lo, hi = np.searchsorted(key, queries & band, "left"), np.searchsorted(key, queries & band, "right")
+    dense = hi - lo > 4 * len(_FLIPS)
 
     def take(q: np.ndarray, m: np.ndarray) -> None:
         nonlocal label
@@ -167,17 +185,16 @@ def shard_forest(members: np.ndarray, queries: np.ndarray, band: np.uint64, bloc
         if ok.any():
             label = _merge(label, np.searchsorted(points, q[ok]), np.searchsorted(points, m[ok]))
 
-    for lo, hi in spans:
-        todo = np.flatnonzero((hi > lo) & ~dense)
-        ends = np.cumsum((hi - lo)[todo])
-        start = 0
-        while start < len(todo):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + block, "right")))
-            part = todo[start:stop]
-            n = (hi - lo)[part]
-            first = np.repeat(lo[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-            take(np.repeat(queries[part], n), members[first + np.arange(n.sum())])
-            start = stop
+    todo = np.flatnonzero((hi > lo) & ~dense)
+    ends = np.cumsum((hi - lo)[todo])
+    start = 0
+    while start < len(todo):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + block, "right")))
+        part = todo[start:stop]
+        n = (hi - lo)[part]
+        first = np.repeat(lo[part] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        take(np.repeat(queries[part], n), members[first + np.arange(n.sum())])
+        start = stop
     if dense.any():
         ordered, many = np.sort(members), queries[dense]
         for f in _FLIPS:
@@ -196,14 +213,18 @@ def near_pairs_forest(points: DataFrame) -> DataFrame:
     sample = np.sort(np.array([r.fp for r in sample.collect()], np.int64).view(np.uint64))  # bounded: SAMPLE
     sample = sample[np.random.default_rng(0).permutation(len(sample))]
     forest = build_forest(sample, n) if n else []
-    first = np.cumsum([0] + [t.shards for t in forest])
+    parts = [splits(t, sample, n) for t in forest]
+    starts = [np.concatenate(([0], np.cumsum(p)[:-1])) for p in parts]
+    first = np.cumsum([0] + [int(p.sum()) for p in parts])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.asarray(b.column("fp")).view(np.uint64)
             for k, tree in enumerate(forest):
-                for at, shard, home in tree.visit(fp):
-                    yield pa.RecordBatch.from_arrays([pa.array((shard + first[k]).astype(np.int32)), pa.array(fp[at].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+                value = mix((fp & BANDS[k]) + np.uint64(k + 1))
+                for at, leaf, home in tree.visit(fp):
+                    shard = first[k] + starts[k][leaf] + (value[at] % parts[k][leaf].astype(np.uint64)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[at].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy().view(np.uint64)
@@ -211,7 +232,7 @@ def near_pairs_forest(points: DataFrame) -> DataFrame:
         a, b = shard_forest(fp[pdf["home"].to_numpy()], fp, band)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return points.mapInArrow(visits, "shard int, fp long, home boolean").groupBy("shard").applyInPandas(search, "a long, b long")
+    return points.mapInArrow(visits, "shard long, fp long, home boolean").groupBy("shard").applyInPandas(search, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -254,7 +275,131 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component (its smallest id), with the columns of ``docs``. Ids are unique there."""
-    kept = near_duplicates(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+# ---- the pipeline's stage: wide fingerprints
+
+
+#: Words of a run and least Jaccard similarity of the stage.
+RUN, SIMILARITY = 5, 0.8
+#: 64-bit words of its fingerprints, bands and their bits, and the most bits that candidates differ in (at similarity 0.8: 39 of 256,
+#: with a standard deviation of 6; unrelated texts: 128, with one of 8).
+WIDE, STAGE_BANDS, STAGE_BITS, STAGE_RADIUS = 4, 96, 20, 64
+#: All remaining pairs of the keys are checked once they are at most so many per row of a key, once a round of leaders leaves more than
+#: half of them, or after so many rounds.
+PAIRS_PER_ROW, LEADER_ROUNDS = 4, 6
+_rng = np.random.default_rng(8)
+#: (word, mask as a signed long) of every band.
+_STAGE = [(i % WIDE, int(np.uint64(sum(1 << int(b) for b in _rng.choice(64, STAGE_BITS, replace=False))).astype(np.int64))) for i in range(STAGE_BANDS)]
+
+
+def run_sets(column: pa.Array, k: int = RUN) -> list[np.ndarray]:
+    """The distinct hashes of every text's runs of k words, ascending; a shorter text is one run, one without words the run 0."""
+    buf, offsets = text_buffer(column)
+    w = Words(LOWER[buf], offsets)
+    h, at = w.grams(k)
+    cuts = np.searchsorted(w.doc[at], np.arange(len(offsets)))
+    out = []
+    for d in range(len(offsets) - 1):
+        if cuts[d + 1] > cuts[d]:
+            out.append(np.unique(h[cuts[d] : cuts[d + 1]]))
+            continue
+        run = np.zeros(1, np.uint64)
+        for i in range(w.first[d], w.first[d + 1]):
+            run = mix(run * U(3) + w.hash[i : i + 1] + U(1))
+        out.append(run)
+    return out
+
+
+def wide_fingerprints(sets: list[np.ndarray], chunk: int = 100_000) -> np.ndarray:
+    """(texts, WIDE): a bit is 1 if it is set in over half of the text's runs; every word hashes the runs anew."""
+    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    doc, out = np.repeat(np.arange(len(sets)), sizes), np.empty((len(sets), WIDE), np.uint64)
+    for j in range(WIDE):
+        ones = np.zeros((len(sets), 64), np.int64)
+        for a in range(0, len(flat), chunk):
+            d = doc[a : a + chunk]
+            at = np.flatnonzero(np.diff(d, prepend=-1))
+            bits = np.unpackbits(mix(flat[a : a + chunk] + U(7919 * (j + 1))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[d[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+        out[:, j] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """tag, n (distinct runs), f0.. (the fingerprint's words): a row per text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            sets = run_sets(b.column("text"))
+            f = wide_fingerprints(sets)
+            columns = [b.column("tag"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(f[:, j].view(np.int64)) for j in range(WIDE))]
+            yield pa.RecordBatch.from_arrays(columns, names=["tag", "n", *(f"f{j}" for j in range(WIDE))])
+
+    words = ", ".join(f"f{j} long" for j in range(WIDE))
+    return rows.select("tag", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(run, f"tag long, n long, {words}")
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose full sets are as similar as that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "_ta"):
+            first, second = run_sets(b.column("_ta")), run_sets(b.column("_tb"))
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(first, second)], np.int64)
+            either = np.array([len(x) + len(y) for x, y in zip(first, second)], np.int64) - both
+            yield b.filter(pa.array(both >= similarity * either - 1e-9)).select(["a", "b"])
+
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("tag")).distinct(), "near-needed")
+    texts = materialize(rows.join(small(needed), "tag", "left_semi").select("tag", F.coalesce("row.text", F.lit("")).alias("text")), "near-texts")
+    side = lambda k: texts.select(F.col("tag").alias(k), F.col("text").alias(f"_t{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
+
+
+def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """v, root (smallest tag of its component) of every row that is similar to another and not the root; ``rows`` is a written
+    table of row (with its text) and tag."""
+    marks = materialize(_marks(rows), "near-marks")
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col(f"f{w}").bitwiseAND(F.lit(m))) for i, (w, m) in enumerate(_STAGE)])).alias("key")
+    shared = materialize(marks.select(keys).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "near-keys")
+    words = [f"f{j}" for j in range(WIDE)]
+    left = materialize(marks.select("tag", "n", *words, keys).join(small(shared), "key"), "near-shared")
+    before, turn, roots = float("inf"), 0, None
+    edges = left.select(F.col("tag").alias("a"), F.col("tag").alias("b")).limit(0)
+    while True:
+        mine = left.withColumn("comp", F.col("tag"))
+        if roots is not None:
+            mine = left.join(small(roots), F.col("tag") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "tag")).drop("v", "root")
+        sizes = mine.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"))
+        open_keys = materialize(sizes.where("s * s > ss"), "near-open")
+        count, many = open_keys.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("ss")) / 2)).first()
+        if not count:
+            return left.select(F.col("tag").alias("v"), F.col("tag").alias("root")).limit(0) if roots is None else roots
+        last = many <= PAIRS_PER_ROW * count or many > before / 2 or turn == LEADER_ROUNDS
+        mine = mine.join(small(open_keys.select("key")), "key")
+        side = lambda k: F.struct("tag", "n", "comp", *words).alias(k)
+        if last:
+            other = mine.select("key", side("y"))
+        else:
+            other = mine.groupBy("key").agg(F.min_by(side("y"), F.xxhash64("tag", F.lit(turn))).alias("y"))
+        far = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
+        near = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9) & (far <= STAGE_RADIUS)  # a set is no more similar than the sizes
+        pairs = mine.select("key", side("x")).join(other, "key").where((F.col("x.comp") != F.col("y.comp")) & near & ((F.col("x.tag") < F.col("y.tag")) if last else (F.col("x.tag") != F.col("y.tag"))))
+        pairs = materialize(pairs.select(F.least("x.tag", "y.tag").alias("a"), F.greatest("x.tag", "y.tag").alias("b")).distinct(), "near-pairs")
+        edges = materialize(edges.unionByName(_similar(pairs, rows, similarity)), "near-edges")
+        roots = components(edges)
+        if last:
+            return roots
+        before, turn = many, turn + 1
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each component (its smallest id; a null id only if there is no other), with the columns of ``docs``. Rows are
+    told apart by their place, not by their ids, so repeated rows and rows without ids are near copies like any others; texts
+    without words are copies of each other."""
+    rows = materialize(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("tag")), "near-rows")
+    moved = similar_components(rows, similarity)
+    members = materialize(moved.unionByName(moved.select(F.col("root").alias("v"), "root").distinct()), "near-members")
+    named = rows.select("tag", F.col("row.doc_id").alias("doc_id")).join(small(members), F.col("tag") == F.col("v"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
+    kept = named.groupBy("root").agg(F.min(order)["tag"].alias("tag")).select("tag")
+    gone = materialize(members.select(F.col("v").alias("tag")).join(small(kept), "tag", "left_anti"), "near-gone")
+    return rows.join(small(gone), "tag", "left_anti").select(*columns_of_row(docs.columns))
