@@ -3,12 +3,15 @@
 All that the plan needs is how many items there are of each length, at most ``capacity`` numbers, whatever the size of
 the corpus. From these the driver lays out the sequences:
 
-1. Lengths above ``SMALL`` are sorted and cut into groups of equal cardinality, and every group's lengths are rounded up
-   to its largest.
-2. Configurations (which groups share a sequence, and how often) are chosen on the few rounded sizes: the largest size
-   left, filled up by the best subset of the others (a bounded knapsack), as often as the counts allow.
-3. Actual lengths replace the rounded ones; sequences with the same actual lengths form a class.
-4. Small lengths go, longest first, into the fullest class that still has room for them (best fit), then into new ones.
+1. Lengths above ``SMALL`` are sorted and cut into at most ``GROUPS`` groups of equal cardinality, and every group's lengths
+   are rounded up to its largest.
+2. On these few sizes the least number of sequences is a linear programme over configurations (which sizes share a sequence,
+   and how often). It is solved by column generation: a simplex step on the configurations so far, then a knapsack over the
+   dual prices for the configuration that is worth most, until none is worth more than a sequence. Whole parts are used.
+3. Actual documents replace the rounded sizes, and what rounding had left free is used again at once: the last slot of a
+   sequence takes the longest document that its actual room holds. Sequences with the same actual lengths form a class.
+4. What the whole parts left over, and the small lengths, go, longest first, into the fullest class that still has room
+   for them (best fit), then into new ones.
 
 A class is a run of sequences, and what it takes of a length is a run of that length's items, so the plan is a table of
 runs ``(length, first item, sequence, offset)``. Items are numbered within their length by counting in their own task and
@@ -35,7 +38,7 @@ from .common import blocks, documents, materialize, small, text_of
 
 CAPACITY = 2048
 #: Longest length that counts as small, and groups of the larger ones.
-SMALL, GROUPS = 256, 4096
+SMALL, GROUPS = 256, 100
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -54,28 +57,27 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by the vocabulary file that ``tokenizers`` reads.
 
     The ids are those of ``tokenizers``; the same vocabulary is run by the quicker merge loop of ``tiktoken`` (a token's
-    id is its merge rank in these files) after both agree on a probe. Texts with a special token's string, and very long
-    ones, go through ``tokenizers`` itself.
+    id is its merge rank in these files) after both agree on a probe. Texts with a special token's string go through
+    ``tokenizers`` itself, which gives that string its own id.
     """
 
     PROBE = "It's 12 o'clock,  we'll see: ¿qué?\n\n Über\tçà... 2,048 \u4e2d\u6587 "
 
-    def __init__(self, path: str, longest: int = 1_000_000):
-        self.tokenizer, self.longest = Tokenizer.from_file(path), longest
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         known, byte_of = {t["id"] for t in spec["added_tokens"]}, _byte_of()
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if i not in known}
         self.quick = tiktoken.Encoding("from-file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        if self.quick.encode_ordinary(self.PROBE) != self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids:
-            self.longest = 0
+        self.agree = self.quick.encode_ordinary(self.PROBE) == self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if len(text) > self.longest or any(s in text for s in self.special):
+        if not self.agree or any(s in text for s in self.special):
             return self.raw(text)
         return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
@@ -122,47 +124,49 @@ def items(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, en
 # ---- the plan
 
 
-def _best_fill(sizes: list[int], counts: list[int], room: int) -> dict[int, int]:
-    """Which sizes (by number) to put into ``room`` so that least of it stays free; larger sizes first among equals."""
-    by = np.full(room + 1, -1, np.int32)  # the size that first reached a sum
-    reached = np.zeros(room + 1, bool)
-    reached[0] = True
-    for i, (s, c) in enumerate(zip(sizes, counts)):
-        if c <= 0 or s > room:
-            continue
-        new = reached.copy()
-        for _ in range(min(c, room // s)):
-            step = np.zeros(room + 1, bool)
-            step[s:] = new[:-s]
-            step &= ~reached
-            if not step.any():
-                break
-            by[step] = i
-            reached |= step
-            new = step
-        if reached[room]:
-            break
-    at, used = int(np.flatnonzero(reached)[-1]), defaultdict(int)
-    while at:
-        used[int(by[at])] += 1
-        at -= sizes[int(by[at])]
+def _worth_most(sizes: list[int], prices: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each size is in the sequence whose prices add up to most (an unbounded knapsack)."""
+    value, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int32)
+    for g, s in enumerate(sizes):
+        if prices[g] > 1e-12:
+            for _ in range(capacity // s):
+                new = value[:-s] + prices[g]
+                better = new > value[s:] + 1e-12
+                if not better.any():
+                    break
+                value[s:][better], pick[s:][better] = new[better], g
+    at, used = int(np.argmax(value)), np.zeros(len(sizes))
+    while pick[at] >= 0:
+        used[pick[at]] += 1
+        at -= sizes[pick[at]]
     return used
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """(size numbers of a sequence, how many such sequences) until all are placed; ``sizes`` descend."""
-    left, out = list(counts), []
-    for g in range(len(sizes)):
-        while left[g]:
-            left[g] -= 1
-            used = _best_fill(sizes, left, capacity - sizes[g])
-            left[g] += 1
-            used[g] += 1
-            times = min(left[i] // n for i, n in used.items())
-            for i, n in used.items():
-                left[i] -= n * times
-            out.append(([i for i in sorted(used) for _ in range(used[i])], times))
-    return out
+def configurations(sizes: list[int], counts: list[int], capacity: int, gap: float = 1e-4) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """(how often each size is in a sequence, how many such sequences) of the linear programme's best solution, and its value.
+    It ends once the value is within ``gap`` of the bound that the dual prices prove."""
+    m = len(sizes)
+    need, columns = np.array(counts, float), [np.eye(m)[g] * (capacity // s) for g, s in enumerate(sizes)]
+    inverse = np.diag([1.0 / (capacity // s) for s in sizes]) if m else np.zeros((0, 0))
+    times = inverse @ need
+    while m:
+        prices = inverse.sum(axis=0)
+        new = _worth_most(sizes, prices, capacity)
+        worth = float(prices @ new)
+        if worth <= 1 + 1e-9 or times.sum() * (1 - 1 / worth) <= gap * times.sum():
+            break
+        step = inverse @ new
+        rise = np.flatnonzero(step > 1e-9)
+        ratio = times[rise] / step[rise]
+        out = int(rise[np.argmin(ratio)])
+        most = max(float(ratio.min()), 0.0)
+        times = np.maximum(times - most * step, 0.0)
+        times[out] = most
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
+        columns[out] = new
+    return [(c, float(t)) for c, t in zip(columns, times) if t > 1e-9], float(times.sum())
 
 
 def linear_groups(lengths: list[int], counts: list[int], groups: int) -> tuple[list[int], list[int], list[list[list[int]]]]:
@@ -208,47 +212,57 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, small_most: int =
 
     large = sorted((n for n in histogram if n > small_most), reverse=True)
     sizes, cards, runs = linear_groups(large, [histogram[n] for n in large], groups)
-    queue = [list(r) for r in runs]
-    for slots, times in configurations(sizes, cards, capacity):
-        # actual lengths of every slot, cut where any of them changes
-        columns = []
-        for g in slots:
-            need, got = times, []
-            while need:
-                n, c = queue[g][0]
-                use = min(c, need)
-                got.append((n, use))
-                need -= use
-                if use == c:
-                    queue[g].pop(0)
-                else:
-                    queue[g][0][1] -= use
-            columns.append(got)
-        at = [0] * len(columns)
-        rest = [c[0][1] for c in columns]
-        while times:
-            run = min(rest)
-            offset, content = 0, []
-            for k, c in enumerate(columns):
-                n = c[at[k]][0]
-                content.append((n, take(n, run), offset))
+    left = {n: histogram[n] for n in histogram}
+    there = np.zeros(capacity + 1, bool)
+    there[large] = True
+    group_of = {n: g for g, r in enumerate(runs) for n, _ in r}
+    lowest = [min(n for n, _ in r) for r in runs]
+
+    def longest(most: int) -> int:
+        """The longest large length that is left, at most ``most``; 0 if there is none."""
+        found = np.flatnonzero(there[small_most + 1 : most + 1])
+        return int(found[-1]) + small_most + 1 if len(found) else 0
+
+    # the fullest configurations first: the sizes that few sequences need stay for the rest
+    plan_of, _ = configurations(sizes, cards, capacity)
+    for used, times in sorted(plan_of, key=lambda c: (-float(c[0] @ np.array(sizes)), tuple(c[0]))):
+        todo = int(times + 1e-6)
+        slots = [g for g in range(len(sizes)) for _ in range(int(used[g]))]
+        while todo:
+            taken: dict[int, int] = defaultdict(int)
+            content, room = [], capacity
+            for k, g in enumerate(slots):
+                # within its group, or shorter where the group is used up; the last slot takes what fits best
+                most = room if k == len(slots) - 1 else min(sizes[g], room)
+                n = longest(most)
+                if not n:
+                    break
+                content.append(n)
+                room -= n
+                taken[n] += 1
+                if left[n] == taken[n]:
+                    there[n] = False
+            if not content:
+                break
+            run = min(todo, min(left[n] // c for n, c in taken.items()))
+            offset, row = 0, []
+            for n in content:
+                row.append((n, take(n, run), offset))
                 offset += n
-            classes.append((run, content))
-            times -= run
-            for k, c in enumerate(columns):
-                rest[k] -= run
-                if not rest[k] and times:
-                    at[k] += 1
-                    rest[k] = c[at[k]][1]
-    # best fit of the small ones, by classes with equal room
+            classes.append((run, row))
+            for n, c in taken.items():
+                left[n] -= c * run
+                there[n] = left[n] > 0
+            todo -= run
+    # best fit of what is left, by classes with equal room
     room: dict[int, list[tuple[int, list[tuple[int, int, int]]]]] = defaultdict(list)
     for times, content in classes:
         room[capacity - sum(n for n, _, _ in content)].append((times, content))
     free = np.zeros(capacity + 1, bool)
     for r, found in room.items():
         free[r] = bool(found)
-    for n in sorted((n for n in histogram if n <= small_most), reverse=True):
-        need = histogram[n]
+    for n in sorted((n for n in left if left[n]), reverse=True):
+        need = left[n]
         while need:
             fits = np.flatnonzero(free[n:])
             if len(fits):
