@@ -14,6 +14,7 @@ import functools
 import html as htmllib
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,16 +48,56 @@ CLOSES = {
     "body": (("head",), ()),
 }
 _ENDS_P = BLOCK - frozenset("button label option select textarea caption legend td th tr tbody thead tfoot html head body title li dt dd summary".split()) | {"li", "dt", "dd"}
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["']){0,65536}?)>""", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_END = re.compile(r"[>\"']")
 _WORDY = re.compile(r"""(?:\s|^)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
-class Block:
-    __slots__ = ("path", "text", "linked")
+class Element:
+    """An open element; the path of a block is the chain of parents, so that paths share what they have in common."""
+
+    __slots__ = ("parent", "tokens", "sums")
+
+    def __init__(self, parent: Element | None, tokens: str):
+        self.parent, self.tokens, self.sums = parent, tokens, None
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+
+class Block:
+    __slots__ = ("element", "text", "linked")
+
+    def __init__(self, element: Element | None, text: str, linked: int):
+        self.element, self.text, self.linked = element, text, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self.element
+        while at:
+            out.append(at.tokens)
+            at = at.parent
+        return tuple(reversed(out))
+
+
+class Scanner:
+    """Ends of tags. A quotation mark with another one after it hides what lies between; a tag that then finds no end is cut at its
+    first ``>``, and marks hide nothing from there on, so a page is read once whatever it holds."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.quotes = True
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``; -1 if there is none."""
+        i = at
+        while self.quotes and i <= self.last[">"]:
+            m = _END.search(self.page, i)
+            if not m or m[0] == ">":
+                return m.start() if m else -1
+            q = m[0]
+            i = self.page.find(q, m.end()) + 1 if m.start() < self.last[q] else m.end()
+        if at <= self.last[">"]:
+            self.quotes = False
+        return self.page.find(">", at)
 
 
 def _tokens(tag: str, attributes: str) -> str:
@@ -83,16 +124,19 @@ def leaf_blocks(page: str) -> list[Block]:
     taken as it is. Character references are decoded; white space in a block becomes one blank."""
     out: list[Block] = []
     names: list[str] = []
-    paths: list[str] = []
+    elements: list[Element] = []
+    depths: dict[str, list[int]] = defaultdict(list)  # of the open elements of each name
+    boxes: list[int] = []  # of the open block-level elements
     pieces: list[str] = []
     linked = links = skipped = at = 0
+    scan = Scanner(page)
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(htmllib.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(tuple(paths), text, min(linked, len(text))))
+                out.append(Block(elements[-1] if elements else None, text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
@@ -100,10 +144,16 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal links, skipped
         while len(names) > depth:
             tag = names.pop()
-            paths.pop()
+            elements.pop()
+            depths[tag].pop()
+            if tag in BLOCK:
+                boxes.pop()
             links -= tag == "a"
             skipped -= tag in SKIPPED
 
+    def deepest(tags: tuple[str, ...]) -> int:
+        return max((depths[t][-1] for t in tags if depths[t]), default=-1)
+
     n = len(page)
     while at < n:
         lt = page.find("<", at)
@@ -124,7 +174,8 @@ def leaf_blocks(page: str) -> list[Block]:
             at = n if end < 0 else end + 1
             continue
         m = _TAG.match(page, lt)
-        if not m:
+        end = scan.end(m.end()) if m else -1
+        if end < 0:
             if lt + 1 < n and (page[lt + 1].isalpha() or page[lt + 1] == "/"):  # a tag without an end
                 end = page.find(">", lt)
                 at = n if end < 0 else end + 1
@@ -133,37 +184,35 @@ def leaf_blocks(page: str) -> list[Block]:
                 pieces.append("<")
             at = lt + 1
             continue
-        at, closing, tag = m.end(), m[1], m[2].lower()
+        at, closing, tag, attributes = end + 1, m[1], m[2].lower(), page[m.end() : end]
         if tag in BLOCK:
             flush()
         elif tag == "br":
             pieces.append(" ")
         if closing:
-            if tag in names:
-                pop_to(len(names) - 1 - names[::-1].index(tag))
+            if depths[tag]:
+                pop_to(depths[tag][-1])
             continue
         if tag in VOID:
             continue
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in stops:
-                    break
-                if names[i] in ends:
-                    pop_to(i)
-                    break
-        elif tag in _ENDS_P and "p" in names:
-            i = len(names) - 1 - names[::-1].index("p")
-            if not any(x in BLOCK for x in names[i + 1 :]):
+            i = deepest(ends)
+            if i > deepest(stops):
                 pop_to(i)
-        if m[3].endswith("/") and tag not in BLOCK:
+        elif tag in _ENDS_P and depths["p"] and boxes[-1] == depths["p"][-1]:  # nothing block-level is open within it
+            pop_to(boxes[-1])
+        if attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:  # its content is no markup
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
+        depths[tag].append(len(names))
+        if tag in BLOCK:
+            boxes.append(len(names))
         names.append(tag)
-        paths.append(_tokens(tag, m[3]))
+        elements.append(Element(elements[-1] if elements else None, _tokens(tag, attributes)))
         links += tag == "a"
         skipped += tag in SKIPPED
     flush()
@@ -177,14 +226,30 @@ DIMS = PATH_DIMS + WORD_DIMS + MORE
 
 
 @functools.lru_cache(100_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Hashed tokens of the path, inner elements once more as such; signs by hash."""
+def _token_sums(element: str, prefix: str) -> np.ndarray:
+    """Hashed tokens of an element, signs by hash."""
     v = np.zeros(PATH_DIMS, np.float32)
-    for depth, element in enumerate(reversed(path)):
-        for token in element.split():
-            for name in (token, "leaf:" + token) if depth < 2 else (token,):
-                h = zlib.crc32(name.encode())
-                v[h % PATH_DIMS] += 1.0 if h >> 16 & 1 else -1.0
+    for token in element.split():
+        h = zlib.crc32((prefix + token).encode())
+        v[h % PATH_DIMS] += 1.0 if h >> 16 & 1 else -1.0
+    return v
+
+
+def _path_vector(element: Element | None) -> np.ndarray:
+    """Sums over the path, the two innermost elements once more as such. Sums are kept at every element on the way, so each is
+    reckoned once."""
+    if element is None:
+        return np.zeros(PATH_DIMS, np.float32)
+    todo, at = [], element
+    while at and at.sums is None:
+        todo.append(at)
+        at = at.parent
+    for e in reversed(todo):
+        own = _token_sums(e.tokens, "")
+        e.sums = own if e.parent is None else e.parent.sums + own
+    v = element.sums + _token_sums(element.tokens, "leaf:")
+    if element.parent:
+        v = v + _token_sums(element.parent.tokens, "leaf:")
     return np.clip(v, -2, 2)
 
 
@@ -205,7 +270,7 @@ def vectors(page: list[Block]) -> np.ndarray:
     w = Words(buf, offsets)
     words = np.maximum(np.diff(w.first), 1)
     for i, b in enumerate(page):
-        x[i, :PATH_DIMS] = _path_vector(b.path)
+        x[i, :PATH_DIMS] = _path_vector(b.element)
     counts = np.bincount(w.doc * WORD_DIMS + (w.hash >> U(59)).astype(np.int64), minlength=n * WORD_DIMS).reshape(n, WORD_DIMS)
     x[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / words[:, None]
     marks = np.diff(np.concatenate(([0], np.cumsum(_MARKS[buf], dtype=np.int64)))[offsets])
@@ -300,8 +365,8 @@ class Labeller:
         s = _sigmoid(np.concatenate([hf, hb], axis=2) @ self.p["o"] + self.p["c"][0])
         return [s[: len(p), j] for j, p in enumerate(pages)]
 
-    def step(self, pages: list[np.ndarray], labels: list[np.ndarray], state: dict, rate: float) -> float:
-        """One Adam step on the mean cross-entropy of the blocks."""
+    def gradients(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> tuple[float, dict]:
+        """Mean cross-entropy of the blocks and its gradient."""
         x, y, mask = self._batch(pages)
         target = np.zeros(mask.shape, np.float32)
         for j, v in enumerate(labels):
@@ -314,6 +379,12 @@ class Labeller:
         dh = ds[..., None] * self.p["o"]
         self._back("f", x, tf, dh[..., : self.h], grads)
         self._back("b", y, tb, self._flip(dh[..., self.h :], mask), grads)
+        value = -(np.where(mask, target * np.log(s + 1e-7) + (1 - target) * np.log(1 - s + 1e-7), 0)).sum() / mask.sum()
+        return float(value), grads
+
+    def step(self, pages: list[np.ndarray], labels: list[np.ndarray], state: dict, rate: float) -> float:
+        """One Adam step."""
+        value, grads = self.gradients(pages, labels)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         state["t"] = t = state.get("t", 0) + 1
         for k, g in grads.items():
@@ -322,7 +393,7 @@ class Labeller:
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             state[k] = (m, v)
             self.p[k] = (self.p[k] - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-        return float(-(np.where(mask, target * np.log(s + 1e-7) + (1 - target) * np.log(1 - s + 1e-7), 0)).sum() / mask.sum())
+        return value
 
 
 MAIN, OTHER = "\ue000", "\ue001"  # private characters that no page uses
