@@ -1,8 +1,9 @@
 """WARC archives from pages and back, through a chunked record table.
 
-A payload never passes as one value: the JVM cuts it into rows ``(record, chunk number, bytes)``, the writer streams
-these into gzip members while it carries the record's SHA-1 along, and the reader gives the same kind of rows back, each
-with the digest of the payload so far. Of equal payloads of at least ``REVISIT_BYTES`` bytes, that of the largest page_id
+The JVM cuts a payload into rows ``(record, chunk number, bytes)``: chunk numbers are exploded first, then one piece is cut
+for each, so beside the value that Spark's reader hands over there is never more than a piece. Rows reach the writer in batches
+of a few MB; it streams them into gzip members while it carries the record's SHA-1 along, and the reader gives the same kind of
+rows back, each with the digest of the payload so far. Of equal payloads of at least ``REVISIT_BYTES`` bytes, that of the largest page_id
 is written as a response, the others as revisits that refer to it.
 """
 
@@ -24,6 +25,8 @@ from .common import materialize, pages, shared_dir, small
 
 REVISIT_BYTES = 1000
 CHUNK = 1 << 16
+#: Most bytes of chunk rows in a batch on its way to the writer.
+BATCH_BYTES = 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -46,20 +49,14 @@ def record_chunks(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     groups = small(materialize(groups.where("rows > 1 and first_id is not null").drop("rows").withColumnRenamed("key", "group_key"), "warc-groups"))
     joined = rows.join(groups, (F.col("key") == F.col("group_key")) & (F.col("n") >= REVISIT_BYTES), "left")
     refers = F.when(~F.col("first_id").eqNullSafe(F.col("page_id")), F.col("first_id"))
-    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int") - 1)
-    pieces = F.transform(steps, lambda i: F.substring("body", i * chunk + 1, F.lit(chunk)))
-    return (
-        joined.withColumn("refers_to", refers)
-        .select(
-            "page_id",
-            "url",
-            "refers_to",
-            F.col("n").alias("payload_bytes"),
-            F.sha1("body").alias("payload_digest"),
-            F.posexplode(F.when(F.col("refers_to").isNull(), pieces).otherwise(F.array(F.lit(b"")))).alias("chunk", "data"),
-        )
-        .withColumn("n_chunks", F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(F.col("payload_bytes") / chunk), F.lit(1))).otherwise(1).cast("int"))
+    n_chunks = F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(F.col("n") / chunk), F.lit(1))).otherwise(1).cast("int")
+    # the digest is taken below the explosion, so once for a payload
+    whole = joined.withColumn("refers_to", refers).select(
+        "page_id", "url", "refers_to", F.col("n").alias("payload_bytes"), F.sha1("body").alias("payload_digest"), n_chunks.alias("n_chunks"), "body"
     )
+    numbered = whole.select("*", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
+    piece = F.when(F.col("refers_to").isNull(), F.substring("body", F.col("chunk") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    return numbered.select("page_id", "url", "refers_to", "payload_bytes", "payload_digest", "chunk", piece.alias("data"), "n_chunks")
 
 
 def _header(row: dict) -> bytes:
@@ -93,13 +90,15 @@ def write_archives(df: DataFrame, folder: str, chunk: int = CHUNK, level: int =
         records = size = 0
         with where.open_output_stream(f"{base}/{name}", compression=None) as out:
             for b in batches:
-                for row in b.to_pylist():
+                heads, data = b.drop_columns(["data"]), b.column("data")
+                for i in range(b.num_rows):
+                    row, part = heads.slice(i, 1).to_pylist()[0], data[i].as_buffer()
                     if row["chunk"] == 0:
                         gz, sha = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1()
                         out.write(gz.compress(_header(row)))
-                    sha.update(row["data"])
-                    out.write(gz.compress(row["data"]))
-                    size += len(row["data"])
+                    sha.update(part)
+                    out.write(gz.compress(part))
+                    size += len(part)
                     if row["chunk"] == row["n_chunks"] - 1:
                         if row["refers_to"] is None and sha.hexdigest() != row["payload_digest"]:
                             raise ValueError(f"page {row['page_id']}: its chunks do not make up its payload")
@@ -110,7 +109,13 @@ def write_archives(df: DataFrame, folder: str, chunk: int = CHUNK, level: int =
         else:
             where.delete_file(f"{base}/{name}")
 
-    return materialize(record_chunks(df, chunk).mapInArrow(run, "archive string, records long, bytes long"), "warc-list")
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key, None)
+    conf.set(key, str(BATCH_BYTES))
+    try:
+        return materialize(record_chunks(df, chunk).mapInArrow(run, "archive string, records long, bytes long"), "warc-list")
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
 
 
 class _Stream:
