@@ -2,15 +2,23 @@
 
 Every pattern's matches become rows ``(document, kind, start, end)``. Positions come from the pieces between matches: the
 start of a match is the running sum of the lengths of the pieces and matches before it. Strong (base) matches always
-count. Weak candidates - identifiers, short or unlabelled secrets, endpoints - are joined by interval: within ``SCOPE``
-code points of each other, by a range window over a document's spans, which looks at neighbours only and never pairs
-all with all. A weak candidate is reported only if its complement lies in its scope:
+count. Weak candidates - identifiers, short or unlabelled secrets, endpoints - are joined by interval: two parts belong together
+if at most ``SCOPE`` code points lie between the end of one and the start of the other (overlapping parts do). Each span asks from
+the place ``SCOPE`` behind its end how far the parts that start up to there reach at most; if that is not further back than
+``SCOPE`` before its own start, one of them is in scope. Spans and questions are ordered together, so a document's spans are
+passed over once and never paired with each other. A weak candidate is reported only if its complement lies in its scope:
 
 * a weak identifier needs a secret (strong or weak),
 * a weak secret needs an identifier (strong or weak),
 * an endpoint needs both.
 
 A weak candidate that overlaps a base span is dropped: the base span says the same.
+
+What counts as weak: an identifier is a run of 12 or more capitals and digits with both among them and not within a secret, or what is assigned to a
+label such as client_id or username; a secret is a run of 40 or more letters, digits, plus signs and slashes with small and
+capital letters and digits among them, or an assignment whose value has 3 to 5 characters; an endpoint is a URL with a scheme of 2
+to 16 characters, four numbers with dots, or what is assigned to a label such as host or endpoint. Labels match in either
+case, with up to 8 blanks on each side of the sign of assignment.
 """
 
 from __future__ import annotations
@@ -20,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, text_of
 
-#: Code points between the starts of parts that belong together.
+#: Most code points between parts that belong together.
 SCOPE = 200
 
 _KEY = r"(password|passwd|secret|token|api_?key)"
@@ -28,10 +36,11 @@ _SEP = r"""["']?\x20*[:=]\x20*["']?"""
 ASSIGN = rf"(?i:{_KEY}){_SEP}([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # as AKIA[A-Z0-9]+ of 20 characters or more
 HEX = r"[0-9a-f]{24,}"  # as [0-9a-f]+ of 24 characters or more
-#: Bounded repeats keep these linear on long runs.
-WEAK_ACCESS = r"[A-Z]{1,31}[0-9][A-Z0-9]{10,}|[0-9]{1,31}[A-Z][A-Z0-9]{10,}"
+_LABELLED = r"""["']?\x20{0,8}[:=]\x20{0,8}["']?"""
+WEAK_ACCESS = r"[A-Z0-9]{12,}"  # with a letter and a digit
+WEAK_ID = rf"(?i:access_?key_?id|client_?id|account_?id|user_?name|user|login){_LABELLED}([A-Za-z0-9.@_+-]+)"
 WEAK_SECRET = r"[A-Za-z0-9+/]{40,}={0,2}"
-ENDPOINT = r"""[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|(?:host|hostname|endpoint|server)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9.:/_-]+"""
+ENDPOINT = rf"""[a-z][a-z0-9+.-]{{1,15}}://[^\x20\x09-\x0D"'<>]+|[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}|(?i:hostname|host|endpoint|server){_LABELLED}[A-Za-z0-9.:/_-]+"""
 
 #: kind, order within a start, pattern, part of a credential, strong
 KINDS = (
@@ -41,6 +50,7 @@ KINDS = (
     ("weak_access", 3, WEAK_ACCESS, "access", False),
     ("weak_secret", 4, WEAK_SECRET, "secret", False),
     ("endpoint", 5, ENDPOINT, "endpoint", False),
+    ("weak_id", 6, WEAK_ID, "access", False),
 )
 EMPTY = "array<struct<no:int,i:int,gap:int,len:int,ok:int>>"
 
@@ -53,6 +63,8 @@ def _matches(text: Column, no: int, kind: str, pattern: str) -> Column:
     if kind == "assign":
         value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda x: F.length(x))
         ok = F.transform(value, lambda n: F.when(n >= 6, 2).when(n >= 3, 1).otherwise(0))
+    elif kind == "weak_access":
+        ok = F.transform(found, lambda x: (x.rlike("[A-Z]") & x.rlike("[0-9]")).cast("int"))
     elif kind == "weak_secret":
         ok = F.transform(found, lambda x: (x.rlike("[a-z]") & x.rlike("[A-Z]") & x.rlike("[0-9]")).cast("int"))
     else:
@@ -66,7 +78,7 @@ def _matches(text: Column, no: int, kind: str, pattern: str) -> Column:
 
 
 def linked_spans(docs: DataFrame) -> DataFrame:
-    """A row per span or, for a document without any, one row with a null kind: doc_id, tag, no, start, end, base.
+    """A row per span, and for a document without any, at least one row with a null kind: doc_id, tag, no, start, end, base.
 
     ``tag`` tells repeated rows apart. Null text counts as empty. Further columns are ignored.
     """
@@ -81,29 +93,37 @@ def linked_spans(docs: DataFrame) -> DataFrame:
     )
     running = Window.partitionBy("tag", "no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(running)).withColumn("start", F.col("end") - F.col("len"))
-    rows = rows.where("no is null or ok > 0").withColumn("base", F.coalesce((F.col("no") < 3) & (F.col("ok") == 2), F.lit(False)))
+    # a match that counts as nothing is no span, but may be all that its document has
+    rows = rows.withColumn("no", F.when(F.col("ok") > 0, F.col("no"))).withColumn("base", F.coalesce((F.col("no") < 3) & (F.col("ok") == 2), F.lit(False)))
     # an assignment too short to be strong is a weak secret
     rows = rows.withColumn("no", F.when((F.col("no") == 0) & ~F.col("base"), 4).otherwise(F.col("no")))
     part = {p: F.lit(False) for p in ("access", "secret", "endpoint")}
     for _, no, _, p, _ in KINDS:
         part[p] = part[p] | (F.col("no") == no)
-    near = Window.partitionBy("tag").orderBy("start").rangeBetween(-SCOPE, SCOPE)
+    # capitals and digits inside a secret are part of it, not an identifier
     ahead = Window.partitionBy("tag").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    inside = F.max(F.when(part["secret"], F.col("end"))).over(ahead) > F.col("start")
+    rows = rows.withColumn("inside", inside).withColumn("no", F.when(~((F.col("no") == 3) & F.coalesce("inside", F.lit(False))), F.col("no"))).drop("inside")
+    # a question follows the spans that start at its place
+    asked = rows.withColumn("q", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("place", F.when(F.col("q") == 1, F.col("end") + SCOPE).otherwise(F.col("start")))
+    sofar = Window.partitionBy("tag").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
+    reach = lambda p: F.max(F.when((F.col("q") == 0) & part[p], F.col("end"))).over(sofar)
     behind = Window.partitionBy("tag").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)
     rows = (
-        rows.withColumn("has_access", F.max(part["access"].cast("int")).over(near))
-        .withColumn("has_secret", F.max(part["secret"].cast("int")).over(near))
+        asked.withColumn("has_access", (reach("access") >= F.col("start") - SCOPE).cast("int"))
+        .withColumn("has_secret", (reach("secret") >= F.col("start") - SCOPE).cast("int"))
+        .where("q = 1")
         .withColumn("base_end", F.max(F.when(F.col("base"), F.col("end"))).over(ahead))
         .withColumn("base_start", F.min(F.when(F.col("base"), F.col("start"))).over(behind))
     )
     free = (F.coalesce(F.col("base_end"), F.lit(-1)) <= F.col("start")) & (F.col("base_start").isNull() | (F.col("base_start") >= F.col("end")))
     linked = (
-        F.when(F.col("no") == 3, F.col("has_secret") == 1)
+        F.when(F.col("no").isin(3, 6), F.col("has_secret") == 1)
         .when(F.col("no") == 4, F.col("has_access") == 1)
         .when(F.col("no") == 5, (F.col("has_access") == 1) & (F.col("has_secret") == 1))
         .otherwise(False)
     )
-    return rows.withColumn("report", F.col("base") | (linked & free)).select("doc_id", "tag", "no", "start", "end", "base", "report")
+    return rows.withColumn("report", F.col("base") | F.coalesce(linked & free, F.lit(False))).select("doc_id", "tag", "no", "start", "end", "base", "report")
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -143,6 +163,7 @@ def _sql_kind(kind: str, no: int, pattern: str) -> str:
     value = f"regexp_extract_all(t, '{p}', 2)" if kind == "assign" else f"regexp_extract_all(t, '{p}')"
     ok = {
         "assign": "CASE WHEN length(v) >= 6 THEN 2 WHEN length(v) >= 3 THEN 1 ELSE 0 END",
+        "weak_access": "CASE WHEN regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]') THEN 1 ELSE 0 END",
         "weak_secret": "CASE WHEN regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]') THEN 1 ELSE 0 END",
     }.get(kind, str(2 if no < 3 else 1))
     return f"""
@@ -161,14 +182,21 @@ SQL_OP2 = (
   SELECT *, sum(gap + len) OVER (PARTITION BY doc_id, no ORDER BY i)::BIGINT AS "end" FROM m
 ), b AS (
   SELECT doc_id, CASE WHEN no = 0 AND ok = 1 THEN 4 ELSE no END AS no, "end" - len AS start, "end", no < 3 AND ok = 2 AS base FROM p WHERE ok > 0
+), o AS (
+  SELECT *, coalesce(max(CASE WHEN no IN (0, 2, 4) THEN "end" END) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > start, false) AS inside FROM b
+), y AS (
+  SELECT *, CASE WHEN q = 1 THEN "end" + {SCOPE} ELSE start END AS place FROM o CROSS JOIN (VALUES (0), (1)) AS v(q) WHERE no <> 3 OR NOT inside
+), z AS (
+  SELECT *, max(CASE WHEN q = 0 AND no IN (1, 3, 6) THEN "end" END) OVER sofar AS access_end, max(CASE WHEN q = 0 AND no IN (0, 2, 4) THEN "end" END) OVER sofar AS secret_end
+  FROM y WINDOW sofar AS (PARTITION BY doc_id ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), w AS (
-  SELECT *, max((no IN (1, 3))::INT) OVER near AS has_access, max((no IN (0, 2, 4))::INT) OVER near AS has_secret,
+  SELECT *, coalesce(access_end >= start - {SCOPE}, false)::INT AS has_access, coalesce(secret_end >= start - {SCOPE}, false)::INT AS has_secret,
          max(CASE WHEN base THEN "end" END) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS base_end,
          min(CASE WHEN base THEN start END) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS base_start
-  FROM b WINDOW near AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)
+  FROM z WHERE q = 1
 ), r AS (
   SELECT *, base OR (coalesce(base_end, -1) <= start AND (base_start IS NULL OR base_start >= "end") AND
-         CASE no WHEN 3 THEN has_secret = 1 WHEN 4 THEN has_access = 1 WHEN 5 THEN has_access = 1 AND has_secret = 1 ELSE false END) AS report,
+         CASE no WHEN 3 THEN has_secret = 1 WHEN 6 THEN has_secret = 1 WHEN 4 THEN has_access = 1 WHEN 5 THEN has_access = 1 AND has_secret = 1 ELSE false END) AS report,
          [{', '.join(f"'{k}'" for k, *_ in KINDS)}][no + 1] || ':' || start || ':' || "end" AS s
   FROM w
 ), a AS (
