@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_linear_grouping": packing.op8_linear_grouping,
         "op9_pareto_mixing": mixing.op9_pareto_mixing,
         "op10_llr_quality": quality_rules.op10_llr_quality,
+        "quality_base_rules": quality_rules.quality_base_rules,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_chunked_warc": warc.SQL_OP4,
         "op6_exact_dedup": exact_dedup.SQL_OP6,
         "op9_pareto_mixing": mixing.SQL_OP9,
+        "quality_base_rules": quality_rules.SQL_BASE,
     }
