@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, fresh, labels, text_of
+from .common import blocks, documents, labels, text_of
 from .wordhash import U, Words, grams, mix, text_buffer, unique_rows
 
 BITS = 18
@@ -185,11 +185,12 @@ def keep_good(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with the columns of ``docs``: scored and filtered in one pass, so no
     join brings the texts together again."""
     model = fit(docs, labelled, fold("doc_id", 3) != 1)
-    names, whole = docs.columns, fresh(docs, "whole_text")
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # by place: whatever the columns are called
+    text = F.coalesce(F.col(f"c{docs.columns.index('text')}"), F.lit("")).alias("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, whole):
-            s = model.scores(*features(Words(*text_buffer(b.column(whole)))), b.num_rows)
-            yield b.filter(pa.array(s >= 0.5)).select(names)
+        for b in blocks(batches):
+            s = model.scores(*features(Words(*text_buffer(b.column("text")))), b.num_rows)
+            yield b.filter(pa.array(s >= 0.5)).drop_columns(["text"])
 
-    return docs.withColumn(whole, text_of()).mapInArrow(run, docs.schema)
+    return inner.select("*", text).mapInArrow(run, inner.schema).toDF(*docs.columns)
