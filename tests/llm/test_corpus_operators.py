@@ -1,9 +1,12 @@
 """Edge cases and brute force for the corpus operators."""
 
+import collections
 import hashlib
 import itertools
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rankweave.llm import exact_dedup, html_extract, mixing, nbsvm, near_dedup, packing, quality_rules, secrets, simhash, toxicity, warc
+from rankweave.llm import exact_dedup, html_extract, mixing, nbsvm, packing, quality_rules, secrets, simhash, toxicity, warc
 from rankweave.llm.wordhash import Words, text_buffer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -26,7 +29,7 @@ def make(spark, texts, ids=None, extra=False, sources=None):
     rows = [(i, t, "en", (sources[k] if sources else f"src{k % 3}"), len(t or "")) for k, (i, t) in enumerate(zip(ids, texts))]
     df = spark.createDataFrame(rows, DOCS)
     if extra:  # columns with names that the operators use inside
-        for c in ("digest", "tag", "fp", "n", "size", "u", "cell", "copies", "text_sha256", "score", "times", "taken_id", "whole_text", "html", "kept"):
+        for c in ("digest", "tag", "fp", "n", "size", "u", "cell", "copies", "text_sha256", "score", "times", "taken_id", "whole_text", "html", "kept", "row", "feed", "key", "v", "root", "_keep", "_source", "_sid", "_id", "a.b"):
             df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -68,6 +71,16 @@ def test_exact_dedup_goes_on_over_batches_and_repeated_rows(spark):
     assert exact_dedup.keep_first(make(spark, ["a", "a", "b"], extra=True)).count() == 2
 
 
+def test_exact_dedup_goes_on_with_its_state(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    first = exact_dedup.exact_groups(make(spark, ["a b", "c"]), state=state).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in first} == {(1, 1, 1, True), (2, 2, 1, True)}
+    later = exact_dedup.exact_groups(make(spark, ["ab", "c  ", "d"], ids=[7, 8, 9]), state=state).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in later} == {(7, 1, 2, False), (8, 8, 2, True), (9, 9, 1, True)}
+    again = exact_dedup.exact_groups(make(spark, ["a   b", "d"], ids=[10, 11]), F.sha2("body", 256), state=state).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in again} == {(10, 10, 3, True), (11, 9, 2, False)}
+
+
 # ---- SimHash
 
 
@@ -101,7 +114,31 @@ def test_simhash_matches_brute_force(spark):
                 comp[i] = comp[j] = min(comp[i], comp[j])
     assert {i: c for i, (_, c) in got.items()} == {i + 1: c + 1 for i, c in enumerate(comp)}
     assert simhash.near_duplicates(df.limit(0)).count() == 0
-    assert simhash.keep_one(df).count() == len(set(comp))
+
+
+def test_visits_do_not_grow_with_the_points():
+    points = np.random.default_rng(5).integers(0, 1 << 63, 60_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for n in (200_000, 20_000_000, 2_000_000_000):
+        forest = simhash.build_forest(points, n)
+        visits = sum(len(at) for t in forest for at, _, _ in t.visit(points[:5000])) / 5000
+        assert visits < 1.2 * len(simhash.BANDS)
+        parts = [simhash.splits(t, points, n) for t in forest]
+        assert all(n / p.sum() < 2 * simhash.SHARD for p in parts if n > 2_000_000)
+
+
+def test_a_split_shard_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 20)
+    rng = np.random.default_rng(6)
+    points = {int(c) for c in rng.integers(0, 1 << 62, 150, dtype=np.uint64)}
+    for p in list(points):
+        points |= {p ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (2, 2))}
+    points = np.array(sorted(points), np.uint64)
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    edges = simhash.near_pairs_forest(df).collect()
+    at = {int(p): i for i, p in enumerate(points.view(np.int64))}
+    label = simhash._merge(np.arange(len(points)), np.array([at[e.a] for e in edges]), np.array([at[e.b] for e in edges]))
+    i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 2)
+    assert (label == simhash._merge(np.arange(len(points)), i, j)).all()
 
 
 def test_native_hash_is_the_contract_hash(spark):
@@ -151,11 +188,11 @@ def brute_runs(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
 
 
-@pytest.mark.parametrize("budget", [near_dedup.PAIRS_PER_ROW, 0])
-def test_pipeline_near_copies_are_all_pairs_of_five_word_similarity(spark, monkeypatch, budget):
+@pytest.mark.parametrize("budget", [simhash.PAIRS_PER_ROW, 0])
+def test_pipeline_near_copies_of_five_word_similarity(spark, monkeypatch, budget):
     import corpus_pipeline
 
-    monkeypatch.setattr(near_dedup, "PAIRS_PER_ROW", budget)  # 0: leaders first
+    monkeypatch.setattr(simhash, "PAIRS_PER_ROW", budget)  # 0: leaders first
     r = random.Random(4)
     texts = [t for t in AWKWARD if t is None or len(t) < 1000]
     for k in range(40):
@@ -173,7 +210,8 @@ def test_pipeline_near_copies_are_all_pairs_of_five_word_similarity(spark, monke
     df = make(spark, texts, extra=True)
     kept = corpus_pipeline.drop_near_copies(spark, df, "")
     assert kept.columns == df.columns
-    assert sorted(x.doc_id for x in kept.collect()) == sorted({c + 1 for c in comp})
+    got, want = {x.doc_id for x in kept.collect()}, {c + 1 for c in comp}
+    assert want <= got and len(got - want) <= 0.03 * len(texts)  # nothing goes that is not similar; candidates come by chance of their bits
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
 
 # ---- secrets
@@ -202,6 +240,11 @@ SECRETS = [
     "",
     None,
     "token = " + "a" * 20_000,
+    "AAAAAAAAAAAAAAAAAAAA",
+    "token=ab",
+    "token=" + "z" * 250 + " A1B2C3D4E5F6G7 https://db.example.com/x",
+    "token=" + "z" * 250 + " " * 201 + "A1B2C3D4E5F6G7",
+    f"Client_ID: svc-reader {LONG} DB_ENDPOINT: db1.internal",
 ]
 
 
@@ -215,6 +258,11 @@ def test_secret_spans(spark):
     assert [s.split(":")[0] for s in got[6].spans.split(",")] == ["access", "weak_secret", "endpoint"]
     assert got[7].spans == "" and got[7].n_weak == 0
     assert {s.split(":")[0] for s in got[8].spans.split(",")} == {"weak_access", "weak_secret", "endpoint"}
+    assert got[12].spans == "" and got[13].spans == ""
+    # the scope is measured between the parts, not between their starts
+    assert [s.split(":")[0] for s in got[14].spans.split(",")] == ["assign", "weak_access", "endpoint"]
+    assert [s.split(":")[0] for s in got[15].spans.split(",")] == ["assign"]
+    assert {s.split(":")[0] for s in got[16].spans.split(",")} == {"weak_id", "weak_secret", "endpoint"}
     assert secrets.scan_secrets(make(spark, ["a"]).limit(0)).count() == 0
 
 
@@ -238,14 +286,31 @@ def brute_mix(texts, ids, sources):
             left -= target[n]
         open_ -= over
     u = lambda i: (int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-    out = {}
+    out, chance = {}, {}
     for n in names:
-        e = target[n] / total[n] if total[n] else 0
-        whole, upto = int(e + 1e-12), 0
-        for i, z in sorted(((i, z) for i, z, s in zip(ids, size, sources) if s == n), key=lambda x: u(x[0])):
+        docs = [(i, z, z.bit_length() if z & (z + 1) else z.bit_length() + 1) for i, z, s in zip(ids, size, sources) if s == n]
+        docs = [(i, z, 16 + len(bin(z + 1)) - 2) for i, z, _ in docs]
+        capped: set = set()  # weights at two copies
+        while True:
+            rest = sum(w * z for _, z, w in docs if w not in capped)
+            level = (target[n] - sum(2 * z for _, z, w in docs if w in capped)) / rest if rest else 0
+            over = {w for _, z, w in docs if z and w not in capped and level * w > 2}
+            if not over:
+                break
+            capped.add(max(over))
+        expect = {w: 2.0 if w in capped else min(2.0, level * w) for _, _, w in docs}
+        left, ranks = target[n], []
+        for i, z, w in docs:
+            whole = int(expect[w] + 1e-9)
+            p = expect[w] - whole if z and expect[w] - whole > 1e-9 else 0
+            left, out[i], chance[i] = left - whole * z, whole * z, p
+            if p:
+                ranks.append((u(i) / (1 - u(i)) / (p / (1 - p)), i, z))
+        upto = 0
+        for _, i, z in sorted(ranks):
             upto += z
-            out[i] = z * (whole + (e - whole > 0 and upto - z / 2 <= target[n] - whole * total[n]))
-    return target, out
+            out[i] += z * (upto - z / 2 <= max(left, 0))
+    return target, out, chance
 
 
 def test_mixing_matches_brute_force(spark):
@@ -255,8 +320,13 @@ def test_mixing_matches_brute_force(spark):
     sources = [r.choice(["hot"] * 6 + ["b", "c", "Z", None]) for _ in range(n)]
     df = make(spark, texts, sources=sources, extra=True)
     got = mixing.pareto_mix(df).collect()
-    target, taken = brute_mix(texts, range(1, n + 1), sources)
+    target, taken, chance = brute_mix(texts, range(1, n + 1), sources)
     assert {x.doc_id: x.taken for x in got} == taken
+    hot = [x for x in got if x.source == "hot" and x.size]
+    assert len({x.p for x in hot}) > 1 and all(x.p == pytest.approx(chance[x.doc_id]) for x in hot)
+    # ranks decide, not the uniform numbers: with unequal chances their orders differ
+    by_rank = [x.doc_id for x in sorted((x for x in hot if x.rank is not None), key=lambda x: x.rank)]
+    assert by_rank != sorted(by_rank, key=lambda i: int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16))
     for x in got:
         assert x.target == pytest.approx(target[sources[x.doc_id - 1]]) and x.taken <= 2 * x.size
     mixed = mixing.mixed(df)
@@ -269,6 +339,8 @@ def test_mixing_matches_brute_force(spark):
 def test_mixing_of_repeated_rows_and_blanks(spark):
     got = mixing.pareto_mix(make(spark, ["a b", "a b", "", None], ids=[1, 1, 2, 3], sources=["s"] * 4)).collect()
     assert len(got) == 4 and sum(x.taken for x in got) == 6
+    none = make(spark, ["w " * 9] * 5 + ["v " * 9] * 3, ids=[None] * 8, sources=["s"] * 8)
+    assert mixing.mixed(none).count() == sum(x.copies for x in mixing.pareto_mix(none).collect()) == 12
 
 
 # ---- packing
@@ -304,7 +376,48 @@ def test_packing(spark):
     assert [x.offset for x in sorted(packing.pack(twice).collect(), key=lambda x: x.offset)] == [0, 4]
 
 
-@pytest.mark.parametrize("groups", [3, 40, 4096])
+def test_few_sizes_pack_nearly_as_tight_as_can_be():
+    r = np.random.default_rng(3)
+    n = np.clip(np.exp(r.normal(6.2, 0.8, 30_000)), 8, 8000).astype(int)
+    hist = {2048: int((n // 2048).sum())}
+    for x in n % 2048:
+        hist[int(x)] = hist.get(int(x), 0) + 1
+    hist.pop(0, None)
+    large = sorted((x for x in hist if x > packing.SMALL), reverse=True)
+    sizes, cards, _ = packing.linear_groups(large, [hist[x] for x in large], packing.GROUPS)
+    assert len(sizes) <= 200 and len(sizes) < len(large) / 4 and sum(cards) == sum(hist[x] for x in large)
+    _, used = packing.plan(hist)
+    assert used <= 1.003 * -(-sum(k * c for k, c in hist.items()) // 2048)
+
+
+def test_linear_programme_reaches_the_least():
+    # 3 of 5 and 2 of 4 into 10: by hand, halves of (5, 5) and pairs (4, 4)
+    columns, value = packing.configurations([5, 4], [3, 2], 10, gap=0)
+    assert value == pytest.approx(2.5)
+    assert sum(t for _, t in columns) == pytest.approx(value)
+    for sizes, counts in (([7, 5, 3], [4, 6, 9]), ([6, 6, 5, 2], [3, 2, 8, 5])):
+        every = [c for c in itertools.product(*[range(10 // x + 1) for x in sizes]) if any(c) and sum(a * x for a, x in zip(c, sizes)) <= 10]
+        columns, value = packing.configurations(sizes, counts, 10, gap=0)
+        assert np.allclose(sum(c * t for c, t in columns), counts)
+        # dual prices prove it: no configuration is worth more than a sequence at the prices of the last basis
+        basis = np.array([c for c, _ in columns]).T
+        prices = np.linalg.lstsq(basis.T, np.ones(basis.shape[1]), rcond=None)[0]
+        if basis.shape[0] == basis.shape[1]:
+            assert max(np.dot(c, prices) for c in every) <= 1 + 1e-6 and prices @ counts == pytest.approx(value)
+
+
+def test_both_tokenizers_give_the_same_ids():
+    enc, r = packing.encoder(packing.public_tokenizers.path(packing.TOKENIZER)), random.Random(11)
+    assert enc.agree
+    spans = [(32, 127), (9, 14), (160, 592), (0x370, 0x400), (0x600, 0x700), (0x900, 0xA00), (0x4E00, 0x5000), (0x1F300, 0x1F700), (0x2000, 0x2070), (0, 0xD800), (0xE000, 0x110000)]
+    for k in range(400):
+        text = "".join(chr(r.randrange(*r.choice(spans))) for _ in range(r.choice([1, 5, 60, 400])))
+        assert enc.encode(text) == enc.raw(text), text
+    for text in ("x" * 200_000, " " * 50_000, "ab " * 100_000, "\u4e2d" * 30_000, "a1" * 40_000, "\n" * 3000, "'s't're" * 5000):
+        assert enc.encode(text) == enc.raw(text)
+
+
+@pytest.mark.parametrize("groups", [3, 40, 100])
 def test_plan_places_every_item_once(groups):
     r = random.Random(groups)
     hist = {r.randrange(1, 2049): r.randrange(1, 400) for _ in range(300)} | {2048: 7, 1: 50}
@@ -360,6 +473,16 @@ def test_warc_chunks_carry_the_digest(spark, tmp_path):
     assert data.decode() == text and [r.last for r in rows].count(True) == 1
 
 
+def test_warc_of_a_large_payload_moves_in_pieces(spark, tmp_path):
+    df = spark.range(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("0123456789abcdef"), 4 << 20).alias("html"))  # 64 MB
+    sizes = warc.record_chunks(df).select(F.octet_length("data").alias("n"), "n_chunks").groupBy().agg(F.max("n"), F.sum("n"), F.count("*"), F.max("n_chunks")).first()
+    assert tuple(sizes) == (warc.CHUNK, 64 << 20, 1024, 1024)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    row = warc.round_trip(df).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert [(r.payload_bytes, r.payload_digest) for r in row] == [(64 << 20, hashlib.sha1(b"0123456789abcdef" * (4 << 20)).hexdigest())]
+
+
 # ---- words, quality rules and classifiers
 
 
@@ -391,9 +514,30 @@ def test_ratio_counts_every_trusted_document(spark):
     docs = spark.range(20_200).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"))
     got = quality_rules.fit_ratio(docs, docs.select("doc_id", F.lit(1).alias("quality")))
     w = Words(*text_buffer(pa.array([f"w{i}" for i in range(20_200)])))
-    raw = np.bincount(quality_rules.buckets(w)[0], minlength=len(got))  # all are trusted: both models are the same counts
-    share = (raw + 1) / (raw.sum() + len(raw))
-    assert np.allclose(got, np.log((raw + quality_rules.SMOOTH * share) / (raw.sum() + quality_rules.SMOOTH)) - np.log(share))
+    assert (got.good == np.bincount(quality_rules.buckets(w)[0], minlength=len(got.good))).all()  # all are trusted
+
+
+def test_ratio_matches_brute_force(spark):
+    r = random.Random(9)
+    words = lambda k, n: " ".join(f"{k}{r.randrange(10)}" for _ in range(n))
+    texts = [*(words("g", 60) for _ in range(30)), *(words("b", 60) for _ in range(20)), *(words("g", 30) + " " + words("b", 30) for _ in range(10)), "short g1", None]
+    good = set(range(1, 21)) | {61}
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i in range(1, 41)], "doc_id long, quality int, toxic int").union(spark.createDataFrame([(61, 1, 0)], "doc_id long, quality int, toxic int"))
+    grams = [(lambda w: [*w, *zip(w, w[1:])])(W.findall(t or "")) for t in texts]
+    raw, trusted = collections.Counter(x for g in grams for x in g), collections.Counter(x for i, g in enumerate(grams, 1) if i in good for x in g)
+    cells, total, seen = 1 << quality_rules.BITS, sum(trusted.values()), sum(raw.values())
+    want = {}
+    for i, g in enumerate(grams, 1):
+        own = collections.Counter(g) if i in good else collections.Counter()
+        share = lambda x: (raw[x] + 1) / (seen + cells)
+        score = [np.log((trusted[x] - own[x] + total * share(x)) / (total - sum(own.values()) + total)) - np.log(share(x)) for x in g]
+        want[i] = sum(score) / max(len(g), 1)
+    got = {x.doc_id: x for x in quality_rules.quality_rules(make(spark, texts, extra=True), labels).collect()}
+    assert all(got[i].llr == pytest.approx(v, abs=1e-9) for i, v in want.items())
+    cut = min(want[i] for i in good if i <= 20)  # the smallest score of the trusted that pass: 0.1 % of 20 is none of them
+    for i, x in got.items():
+        assert x.kept == (not x.base_failed and want[i] >= np.floor(cut / quality_rules.STEP) * quality_rules.STEP)
+    assert any(not x.kept and not x.base_failed for x in got.values())
 
 
 def test_words_across_chunks(monkeypatch):
@@ -455,16 +599,66 @@ def test_classifiers_without_labels(spark):
     assert nbsvm.quality_scores(df.limit(0), none).count() == 0
 
 
-def test_swapping_identities_hardly_changes_scores():
-    texts, labels = labelled(200)
-    texts = [t + (" the women came" if i % 5 == 0 else "") for i, t in enumerate(texts)]  # a biased sample
-    rows = [toxicity.feature_list(t) for t in texts]
-    y = np.array([t for _, _, t in labels])
-    pairs = [(toxicity.feature_list("the women came"), toxicity.feature_list(toxicity.swap_identities("the women came")))]
-    gap = lambda m: abs(m.w[pairs[0][0]].sum() - m.w[pairs[0][1]].sum())
-    free, held = toxicity.Model(rows, y, 0.2, pairs, swap=0.0), toxicity.Model(rows, y, 0.2, pairs * 20, swap=50.0)
-    assert gap(held) < 0.5 * gap(free)
-    assert toxicity.swap_identities("Women and gay men") == "men and lesbian girls"
+D = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(D), reason="tables are not here")
+def test_the_counterfactual_term_acts_on_the_registered_fit(spark):
+    docs, table = toxicity.documents(spark, D), toxicity.labels(spark, D)
+    keep = nbsvm.fold("doc_id", 4) != 2
+    on, off = toxicity.fit(docs, table, keep), toxicity.fit(docs, table, keep, swap=0.0)
+    assert np.abs(on.w - off.w).max() > 0.01
+    pairs = [(np.array(r.f), np.array(r.g)) for r in toxicity.sample_rows(docs, table, keep).where("g is not null").collect()]
+    change = lambda m: np.mean([abs(m.w[f].sum() - m.w[g].sum()) for f, g in pairs])
+    assert len(pairs) > 100 and change(on) < 0.5 * change(off)
+    assert np.count_nonzero(on.w[toxicity.identity_buckets()]) > 100
+
+
+def test_mentions_and_swaps():
+    assert toxicity.swap_identities("Women and gay men") == "men and lesbian girls" and toxicity.swap_identities("les juifs d'ici, Frauen") == "les bouddhistes d'ici, m\u00e4nner"
+    assert toxicity.swap_identities("mankind womens") == "mankind womens" and not toxicity.names_identity("mankind")
+    for draw in range(500):
+        said = toxicity.mention("One two. Three four five!\nSix", draw)
+        left = [w for w in said.split() if not toxicity.names_identity(w)]
+        assert len(said.split()) == len(left) + 1 and " ".join(left) in ("One two", "Three four five", "Six")
+    assert toxicity.mention("", 7) in toxicity._TERMS
+    long = "word " * 50_000  # one sentence without an end: nothing is cut off
+    assert len(toxicity.mention(long, 123_456_789)) > len(long)
+
+
+def test_toxicity_gradient_matches_differences():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(9)]
+    pairs = [(np.array([0, 3]), np.array([5])), (np.array([7]), np.zeros(0, np.int64))]
+    loss = toxicity.Loss(rows, np.array([0, 1, 1, 0, 1, 0, 0, 1, 0]), 0.3, pairs, 12, swap=0.7, ridge=0.01)
+    v = rng.normal(size=13)
+    value, grad = loss(v)
+    for i in range(13):
+        e = np.eye(13)[i] * 1e-5
+        assert grad[i] == pytest.approx((loss(v + e)[0] - loss(v - e)[0]) / 2e-5, abs=1e-7)
+    plain = toxicity.Loss(rows, loss.y, 0.3, pairs, 12, swap=0.0, ridge=0.01)(v)[0]
+    changes = [v[0] + v[3] - v[5], v[7]]
+    assert value - plain == pytest.approx(0.7 * np.mean(np.square(changes)))
+    best = toxicity.minimize(loss, np.zeros(13), rounds=500)
+    assert np.abs(loss(best)[1]).max() < 1e-3
+
+
+def test_dual_coordinate_descent_matches_projected_gradient():
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, 15, 6)) for _ in range(24)]
+    y, r = rng.integers(0, 2, 24), rng.normal(size=15)
+    w = nbsvm.dual_coordinate_descent(rows, y, r, passes=400)
+    x = np.zeros((24, 16))
+    for i, f in enumerate(rows):
+        x[i, f] = r[f] / np.linalg.norm(r[f])
+    x[:, -1] = 1
+    q = (x * (2 * y - 1)[:, None]) @ (x * (2 * y - 1)[:, None]).T
+    alpha = np.zeros(24)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, nbsvm.COST)
+    primal = lambda w: 0.5 * w @ w + nbsvm.COST * np.maximum(0, 1 - (2 * y - 1) * (x @ w)).sum()
+    best = x.T @ (alpha * (2 * y - 1))
+    assert primal(w) == pytest.approx(primal(best), rel=1e-3) and np.allclose(w, best, atol=0.02)
 
 
 def test_log_count_ratio_and_hinge():
@@ -514,13 +708,31 @@ def test_labeller_gradients_match_differences():
     xs = [rng.normal(size=(n, html_extract.DIMS)).astype(np.float32) * 0.3 for n in (4, 2)]
     ys = [np.array([1, 0, 1, 1]), np.array([0, 1])]
     m = html_extract.Labeller(seed=1, hidden=3)
+    for k in m.p:  # a step of Adam ends in small numbers; differences need more digits
+        m.p[k] = m.p[k].astype(np.float64)
 
     def loss():
         s = m.scores(xs)
         return -np.mean(np.concatenate([y * np.log(p) + (1 - y) * np.log(1 - p) for p, y in zip(s, ys)]))
 
-    first = loss()
-    state = {}
-    for _ in range(60):
-        m.step(xs, ys, state, 0.01)
-    assert loss() < 0.5 * first
+    _, grads = m.gradients(xs, ys)
+    for k, g in grads.items():
+        flat = m.p[k].reshape(-1)
+        for i in rng.choice(flat.size, min(12, flat.size), replace=False):
+            keep = flat[i]
+            flat[i] = keep + 1e-2
+            up = loss()
+            flat[i] = keep - 1e-2
+            down = loss()
+            flat[i] = keep
+            assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-2, abs=2e-4), k
+
+
+def test_pages_are_read_once_however_deep():
+    for page, n in (("<div>x" * 100_000, 100_000), ("<ul>" + "<div>" * 30_000 + "<li></li>" * 30_000 + "y", 1), ("<a \"'x>" * 50_000, 0), ("<p " + 'a="1>" ' * 100_000 + ">x", 1), ('<a "' + "<b>x" * 50_000, 1)):
+        t = time.time()
+        found = html_extract.leaf_blocks(page)
+        html_extract.vectors(found)
+        assert len(found) == n and time.time() - t < 60, page[:20]
+    a = html_extract.leaf_blocks("<div class=a><p id=b>x</p><p>y")
+    assert [b.path for b in a] == [("div .a", "p .b"), ("div .a", "p")] and a[0].element.parent is a[1].element.parent
