@@ -20,10 +20,12 @@ bits apart (of 64) are found exactly:
 Components of the shards' forests are joined by alternating large-star and small-star steps on tables.
 
 ``keep_one`` is the pipeline's stage: texts whose sets of 5-word runs have a Jaccard similarity of 0.8 or more. Such texts differ
-in 15 % of a fingerprint's bits, which no radius of a few bits reaches, and a tree with so wide a ball prunes nothing. There the
-same fingerprint is taken with 256 bits, the trees' place is taken by their limit at radius 0, equality on a band: any of
-``STAGE_BANDS`` bands of ``STAGE_BITS`` bits makes two texts candidates, their distance over all 256 bits rules out the chance
-ones, and full sets decide. See the README for its recall.
+in 15 % of a fingerprint's bits, which no radius of a few bits reaches, and a ball so wide prunes nothing in a tree; equality on any
+of 96 bands of 20 bits found 0.96 of them, at the price of chance candidates that grow with the square of the texts (README). So
+there candidates share one of ``KEYS`` keys of ``KEY_ROWS`` minimum hashes of their runs (two texts at exactly 0.8 share none with
+a chance of (1 - 0.8**4)**32, about 5e-8), the distance of their fingerprints of 128 bits rules out those that only share a
+passage, and full sets decide. A key with many texts is first worked off by leaders - every text against one text of its keys - and
+only texts that are still in different components are paired, so a large group of near copies costs time in proportion to its texts.
 """
 
 from __future__ import annotations
@@ -280,15 +282,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words of a run and least Jaccard similarity of the stage.
 RUN, SIMILARITY = 5, 0.8
-#: 64-bit words of its fingerprints, bands and their bits, and the most bits that candidates differ in (at similarity 0.8: 39 of 256,
-#: with a standard deviation of 6; unrelated texts: 128, with one of 8).
-WIDE, STAGE_BANDS, STAGE_BITS, STAGE_RADIUS = 4, 96, 20, 64
+#: Keys of a text and the minimum hashes in each.
+KEYS, KEY_ROWS = 32, 4
+#: 64-bit words of its fingerprints, and the most bits that candidates differ in (at similarity 0.8: 19 of 128, with a standard
+#: deviation of 4; unrelated texts: 64, with one of 6).
+WIDE, STAGE_RADIUS = 2, 44
 #: All remaining pairs of the keys are checked once they are at most so many per row of a key, once a round of leaders leaves more than
 #: half of them, or after so many rounds.
 PAIRS_PER_ROW, LEADER_ROUNDS = 4, 6
-_rng = np.random.default_rng(8)
-#: (word, mask as a signed long) of every band.
-_STAGE = [(i % WIDE, int(np.uint64(sum(1 << int(b) for b in _rng.choice(64, STAGE_BITS, replace=False))).astype(np.int64))) for i in range(STAGE_BANDS)]
+_HASHES = np.random.default_rng(5).integers(1, 1 << 63, (KEYS * KEY_ROWS, 2), dtype=np.uint64) | U(1)
 
 
 def run_sets(column: pa.Array, k: int = RUN) -> list[np.ndarray]:
@@ -324,18 +326,31 @@ def wide_fingerprints(sets: list[np.ndarray], chunk: int = 100_000) -> np.ndarra
     return out
 
 
+def minimum_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """(texts, KEYS): each key mixes KEY_ROWS minimum hashes."""
+    flat, starts = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets[:-1]])
+    keys = np.empty((len(sets), KEYS), np.uint64)
+    for b in range(KEYS):
+        key = np.full(len(sets), b + 1, np.uint64)
+        for a, c in _HASHES[b * KEY_ROWS : (b + 1) * KEY_ROWS]:
+            key = mix(key * U(3) + np.minimum.reduceat(flat * a + c, starts))
+        keys[:, b] = key
+    return keys
+
+
 def _marks(rows: DataFrame) -> DataFrame:
-    """tag, n (distinct runs), f0.. (the fingerprint's words): a row per text."""
+    """tag, n (distinct runs), f0.. (the fingerprint's words), keys: a row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             sets = run_sets(b.column("text"))
             f = wide_fingerprints(sets)
-            columns = [b.column("tag"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(f[:, j].view(np.int64)) for j in range(WIDE))]
-            yield pa.RecordBatch.from_arrays(columns, names=["tag", "n", *(f"f{j}" for j in range(WIDE))])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * KEYS), pa.array(minimum_keys(sets).ravel().view(np.int64)))
+            columns = [b.column("tag"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(f[:, j].view(np.int64)) for j in range(WIDE)), keys]
+            yield pa.RecordBatch.from_arrays(columns, names=["tag", "n", *(f"f{j}" for j in range(WIDE)), "keys"])
 
     words = ", ".join(f"f{j} long" for j in range(WIDE))
-    return rows.select("tag", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(run, f"tag long, n long, {words}")
+    return rows.select("tag", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(run, f"tag long, n long, {words}, keys array<long>")
 
 
 def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -358,7 +373,7 @@ def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataF
     """v, root (smallest tag of its component) of every row that is similar to another and not the root; ``rows`` is a written
     table of row (with its text) and tag."""
     marks = materialize(_marks(rows), "near-marks")
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col(f"f{w}").bitwiseAND(F.lit(m))) for i, (w, m) in enumerate(_STAGE)])).alias("key")
+    keys = F.explode("keys").alias("key")
     shared = materialize(marks.select(keys).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "near-keys")
     words = [f"f{j}" for j in range(WIDE)]
     left = materialize(marks.select("tag", "n", *words, keys).join(small(shared), "key"), "near-shared")
@@ -383,6 +398,8 @@ def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataF
         far = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
         near = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9) & (far <= STAGE_RADIUS)  # a set is no more similar than the sizes
         pairs = mine.select("key", side("x")).join(other, "key").where((F.col("x.comp") != F.col("y.comp")) & near & ((F.col("x.tag") < F.col("y.tag")) if last else (F.col("x.tag") != F.col("y.tag"))))
+        if not last:  # of its keys' leaders a text is held against one: the texts of a group have the same
+            pairs = pairs.groupBy("x.tag").agg(F.min_by("y.tag", F.xxhash64("y.tag", F.lit(turn))).alias("other")).select(F.struct("tag").alias("x"), F.struct(F.col("other").alias("tag")).alias("y"))
         pairs = materialize(pairs.select(F.least("x.tag", "y.tag").alias("a"), F.greatest("x.tag", "y.tag").alias("b")).distinct(), "near-pairs")
         edges = materialize(edges.unionByName(_similar(pairs, rows, similarity)), "near-edges")
         roots = components(edges)
