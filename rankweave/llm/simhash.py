@@ -287,9 +287,9 @@ KEYS, KEY_ROWS = 32, 4
 #: 64-bit words of its fingerprints, and the most bits that candidates differ in (at similarity 0.8: 19 of 128, with a standard
 #: deviation of 4; unrelated texts: 64, with one of 6).
 WIDE, STAGE_RADIUS = 2, 44
-#: All remaining pairs of the keys are checked once they are at most so many per row of a key, once a round of leaders leaves more than
-#: half of them, or after so many rounds.
-PAIRS_PER_ROW, LEADER_ROUNDS = 4, 6
+#: Leaders of a key in a round. All remaining pairs of the keys are checked once they are at most so many per row of a key, or after
+#: so many rounds; a text that is similar to an eighth of its group has then missed it with a chance of 4 %.
+LEADERS, PAIRS_PER_ROW, LEADER_ROUNDS = 8, 4, 3
 _HASHES = np.random.default_rng(5).integers(1, 1 << 63, (KEYS * KEY_ROWS, 2), dtype=np.uint64) | U(1)
 
 
@@ -377,7 +377,7 @@ def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataF
     shared = materialize(marks.select(keys).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "near-keys")
     words = [f"f{j}" for j in range(WIDE)]
     left = materialize(marks.select("tag", "n", *words, keys).join(small(shared), "key"), "near-shared")
-    before, turn, roots = float("inf"), 0, None
+    turn, roots = 0, None
     edges = left.select(F.col("tag").alias("a"), F.col("tag").alias("b")).limit(0)
     while True:
         mine = left.withColumn("comp", F.col("tag"))
@@ -388,24 +388,27 @@ def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataF
         count, many = open_keys.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("ss")) / 2)).first()
         if not count:
             return left.select(F.col("tag").alias("v"), F.col("tag").alias("root")).limit(0) if roots is None else roots
-        last = many <= PAIRS_PER_ROW * count or many > before / 2 or turn == LEADER_ROUNDS
+        last = many <= PAIRS_PER_ROW * count or turn == LEADER_ROUNDS
         mine = mine.join(small(open_keys.select("key")), "key")
         side = lambda k: F.struct("tag", "n", "comp", *words).alias(k)
         if last:
-            other = mine.select("key", side("y"))
+            other = mine.select("key", F.array(F.struct(F.lit(0).alias("seat"), side("y"))).alias("lead"))
         else:
-            other = mine.groupBy("key").agg(F.min_by(side("y"), F.xxhash64("tag", F.lit(turn))).alias("y"))
+            seats = [F.struct(F.lit(k).alias("seat"), F.min_by(side("y"), F.xxhash64("tag", F.lit(LEADERS * turn + k))).alias("y")) for k in range(LEADERS)]
+            other = mine.groupBy("key").agg(F.array(*seats).alias("lead"))
         far = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
         near = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9) & (far <= STAGE_RADIUS)  # a set is no more similar than the sizes
-        pairs = mine.select("key", side("x")).join(other, "key").where((F.col("x.comp") != F.col("y.comp")) & near & ((F.col("x.tag") < F.col("y.tag")) if last else (F.col("x.tag") != F.col("y.tag"))))
-        if not last:  # of its keys' leaders a text is held against one: the texts of a group have the same
-            pairs = pairs.groupBy("x.tag").agg(F.min_by("y.tag", F.xxhash64("y.tag", F.lit(turn))).alias("other")).select(F.struct("tag").alias("x"), F.struct(F.col("other").alias("tag")).alias("y"))
+        pairs = mine.select("key", side("x")).join(other, "key").select("x", F.explode("lead").alias("lead")).select("x", "lead.seat", "lead.y")
+        pairs = pairs.where((F.col("x.comp") != F.col("y.comp")) & near & ((F.col("x.tag") < F.col("y.tag")) if last else (F.col("x.tag") != F.col("y.tag"))))
+        if not last:  # of the leaders that its keys have for a seat a text is held against one: the texts of a group have the same
+            one = F.min_by("y.tag", F.xxhash64("y.tag", F.lit(LEADERS * turn) + F.col("seat")))
+            pairs = pairs.groupBy(F.col("x.tag").alias("t"), "seat").agg(one.alias("o")).select(F.struct(F.col("t").alias("tag")).alias("x"), F.struct(F.col("o").alias("tag")).alias("y"))
         pairs = materialize(pairs.select(F.least("x.tag", "y.tag").alias("a"), F.greatest("x.tag", "y.tag").alias("b")).distinct(), "near-pairs")
         edges = materialize(edges.unionByName(_similar(pairs, rows, similarity)), "near-edges")
         roots = components(edges)
         if last:
             return roots
-        before, turn = many, turn + 1
+        turn += 1
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
