@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import counters, split, weighting
+from ..operators import counters, guards, split, weighting
 from ..registry import DATASETS, Split
 from ..sources import adapters
 from . import base
@@ -37,11 +38,11 @@ def labels_from_clicks(s, d):
 
 def history_tail(s, d):
     """The last clicks of every user's whole history, in order."""
-    from ..functions.columns import tail
-
     c = base.clicks(base.basket_log(s, d))
-    h = c.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("us", "seq", "article_id"))).alias("h"))
-    return h.select("user_id", F.size("h").cast("long").alias("n_clicks"), F.posexplode(tail(F.col("h"), 5)).alias("place", "x")).select("user_id", "n_clicks", "place", F.col("x.article_id").alias("article_id"))
+    newest = Window.partitionBy("user_id").orderBy(F.col("us").desc(), F.col("seq").desc())  # a filter on it keeps five rows a user before the shuffle
+    last = c.withColumn("back", F.row_number().over(newest)).where("back <= 5")
+    n = c.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_clicks"))
+    return last.join(n, "user_id").select("user_id", "n_clicks", (F.least("n_clicks", F.lit(5)) - F.col("back")).cast("int").alias("place"), "article_id")
 
 
 def history_view(s, d):
@@ -87,7 +88,18 @@ def split_report(s, d):
 
 
 def split_order_guard(s, d):
-    return split.order_faults(split.assign(_orders(s, d), Split(300, 200, 100)))
+    """A split with rows planted on the wrong side: late ones in train, early ones in test."""
+    rows = split.assign(_orders(s, d), Split(300, 200, 100))
+    planted = F.when(F.col("impression_id") % 97 == 5, "train").when(F.col("impression_id") % 97 == 6, "test").otherwise(F.col("split"))
+    return split.order_faults(rows.withColumn("split", planted))
+
+
+def ragged_guard(s, d):
+    """Nested candidates and labels of which some have lost a label."""
+    log = base.basket_log(s, d)
+    nested = log.groupBy("impression_id").agg(F.collect_list("article_id").alias("candidate_ids"), F.collect_list("label").alias("labels"))
+    planted = nested.withColumn("labels", F.when(F.col("impression_id") % 11 == 3, F.slice("labels", 2, 1_000_000)).otherwise(F.col("labels")))
+    return guards.ragged(planted).select("impression_id", F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"))
 
 
 def stack_halves(s, d):
@@ -196,7 +208,14 @@ FROM clicks c JOIN (SELECT article_id, min(us) AS us FROM log GROUP BY 1) p USIN
         split_report,
         sql(_assign(300, 200, 100), body="SELECT split, count(*) AS n, round(count(*) / (SELECT count(*) FROM sp), 9) AS share, min(impression_time) AS first_time, max(impression_time) AS last_time FROM sp GROUP BY split"),
     ),
-    "split_order_guard": (split_order_guard, sql(_assign(300, 200, 100), body="SELECT split, impression_time AS lo, impression_time AS before FROM sp WHERE false")),
+    "split_order_guard": (split_order_guard, sql(
+        _assign(300, 200, 100),
+        body="""SELECT split, lo, before FROM (
+  SELECT split, min(impression_time) AS lo, lag(max(impression_time)) OVER (ORDER BY list_position(['train', 'tune', 'validation', 'test'], split)) AS before
+  FROM (SELECT impression_time, CASE impression_id % 97 WHEN 5 THEN 'train' WHEN 6 THEN 'test' ELSE split END AS split FROM sp) GROUP BY split
+) WHERE before >= lo""",
+    )),
+    "ragged_guard": (ragged_guard, sql(LOG, body="SELECT impression_id, count(*) AS n_a, count(*) - 1 AS n_b FROM log WHERE impression_id % 11 = 3 GROUP BY 1")),
     "stack_halves": (
         stack_halves,
         sql(LOG, IMPRESSIONS, body="SELECT impression_id, us >= (SELECT us FROM (SELECT us, row_number() OVER (ORDER BY us) AS rn, count(*) OVER () AS n FROM impressions) WHERE rn = floor(n * 0.5) + 1) AS later FROM impressions"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, fusion, metrics, reports
+from ..operators import bootstrap, fusion, guards, metrics, reports
 from ..registry import SLICES
 from ..sources import sinks
 from . import base
@@ -68,7 +68,15 @@ def submission_lines(s, d):
 
 
 def rank_guard(s, d):
-    return sinks.check_ranks(_ranked(s, d))
+    """Ranks of which some have been set wrong: a second first place in every fiftieth impression that has two candidates."""
+    wrong = (F.col("impression_id") % 50 == 3) & (F.col("rank") == 2)
+    return sinks.check_ranks(_ranked(s, d).withColumn("rank", F.when(wrong, 1).otherwise(F.col("rank"))))
+
+
+def unpaired_guard(s, d):
+    """Candidates that only one of two rankings has, some of them planted."""
+    first, second = _ranked(s, d), _second(s, d)
+    return guards.unpaired(first.where("impression_id % 13 <> 4"), second.where("impression_id % 17 <> 9"), ("impression_id", "article_id", "pos"))
 
 
 def auc_per_impression(s, d):
@@ -230,7 +238,11 @@ _SIDE = """SELECT slice, metric, avg(x) AS value, 1.96 * stddev_samp(x) / sqrt(c
 QUERIES = {
     "rank_candidates_by_score": (rank_candidates_by_score, sql(*_BASE, body="SELECT impression_id, article_id, pos, score, rank FROM ranked")),
     "submission_lines": (submission_lines, sql(*_BASE, body="SELECT impression_id, impression_id || ' [' || string_agg(rank::VARCHAR, ',' ORDER BY pos) || ']' AS line FROM ranked GROUP BY 1")),
-    "rank_guard": (rank_guard, sql(*_BASE, body="SELECT impression_id, count(*) AS n, count(DISTINCT rank) AS d, min(rank) AS lo, max(rank) AS hi FROM ranked GROUP BY 1 HAVING count(DISTINCT rank) <> count(*) OR min(rank) <> 1 OR max(rank) <> count(*)")),
+    "rank_guard": (rank_guard, sql(*_BASE, "planted AS (SELECT impression_id, CASE WHEN impression_id % 50 = 3 AND rank = 2 THEN 1 ELSE rank END AS rank FROM ranked)", body="SELECT impression_id, count(*) AS n, count(DISTINCT rank) AS d, min(rank) AS lo, max(rank) AS hi FROM planted GROUP BY 1 HAVING count(DISTINCT rank) <> count(*) OR min(rank) <> 1 OR max(rank) <> count(*)")),
+    "unpaired_guard": (
+        unpaired_guard,
+        sql(LOG, body="SELECT impression_id, article_id, pos, CASE WHEN impression_id % 13 = 4 THEN 'second' ELSE 'first' END AS only_in FROM log WHERE (impression_id % 13 = 4) <> (impression_id % 17 = 9)"),
+    ),
     "auc_per_impression": (auc_per_impression, sql(*_BASE, PER, body="SELECT impression_id, round(auc, 9) AS auc FROM per")),
     "mrr_ndcg": (mrr_ndcg, sql(*_BASE, PER, body="SELECT impression_id, round(mrr, 9) AS mrr, round(ndcg5, 9) AS ndcg5, round(ndcg10, 9) AS ndcg10 FROM per")),
     "degenerate_counts": (degenerate_counts, sql(*_BASE, PER, body="SELECT count(*) AS n, count(*) FILTER (no_positive) AS no_positive, count(*) FILTER (all_positive) AS all_positive, count(*) FILTER (all_tied) AS all_tied FROM per")),

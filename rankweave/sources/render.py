@@ -23,7 +23,11 @@ def duration(seconds: float) -> str:
 
 
 def _cells(df: DataFrame, most: int) -> list[list[str]]:
-    return [df.columns, *[[number(v) for v in r] for r in df.limit(most).collect()]]
+    """Head and rows; a report with more rows than ``most`` is refused, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows is to be written as a table, or needs a larger bound")
+    return [df.columns, *[[number(v) for v in r] for r in rows]]
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:

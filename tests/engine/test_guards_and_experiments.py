@@ -68,3 +68,34 @@ def test_rendering(spark):
     assert render.markdown(d).splitlines()[2] == "| a_b | 0.5000 | - |"
     assert "a\\_b & 0.5000" in render.latex(d) and render.fixed_width(d).splitlines()[0] == "x    y       z"
     assert render.size(1536) == "1.5 kB" and render.duration(0.0123) == "12.3 ms" and render.duration(125) == "2 m 05 s"
+
+
+def test_reports_are_refused_rather_than_cut(spark):
+    from rankweave.sources import render
+
+    with pytest.raises(ValueError):
+        render.markdown(spark.range(4), most=3)
+    assert len(render.markdown(spark.range(3), most=3).splitlines()) == 5
+
+
+def test_fusion_refuses_parents_with_other_candidates(spark):
+    from rankweave.operators import fusion, guards
+
+    a = spark.createDataFrame([(1, 1, 0, 0.5), (1, 2, 1, 0.25)], "impression_id long, article_id long, pos int, score double")
+    assert fusion.linear(a, a).count() == 2
+    for first, second in ((a, a.where("pos = 0")), (a.where("pos = 0"), a)):
+        with pytest.raises(Exception, match="no row for impression 1, article 2"):
+            fusion.linear(first, second).collect()
+        with pytest.raises(guards.GuardError):
+            guards.require_paired(first, second, ("impression_id", "article_id"))
+    guards.require_paired(a, a)
+
+
+def test_later_half_by_days(spark):
+    from rankweave.operators import split
+
+    day = 86_400_000_000
+    us = [0, 0, 5, day, day + 1, day + 1, day + 2, 3 * day]
+    got = split.later_half(spark.createDataFrame([(i, t) for i, t in enumerate(us)], "i long, us long"), 0.5).collect()
+    cut = sorted(us)[len(us) // 2]
+    assert {r.i: r.later for r in got} == {i: t >= cut for i, t in enumerate(us)}
