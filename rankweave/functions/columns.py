@@ -48,3 +48,12 @@ def unit(a: Column) -> Column:
     """The vector at length 1; a zero vector stays zero."""
     scaled = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
     return let(a, lambda v: let(norm(v), lambda n: scaled(v, n)))
+
+
+def half(x: Column) -> Column:
+    """A number as 16-bit floating point keeps it (11 significant bits, half to even, steps of 2**-24 near zero), as a double."""
+    x = x.cast("double")
+    e = F.floor(F.log2(F.abs(x)))
+    e = e - (F.abs(x) < F.pow(F.lit(2.0), e)).cast("int") + (F.abs(x) >= F.pow(F.lit(2.0), e + 1)).cast("int")
+    step = F.pow(F.lit(2.0), F.greatest(e, F.lit(-14)) - 10)
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x / step) * step)

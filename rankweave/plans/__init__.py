@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_queries() -> dict:
     """name -> (query, SQL or None)."""
-    from . import checks, grids, learned, lexical, logs, ranking, semantic
+    from . import checks, grids, learned, lexical, logs, ranking, rerank, semantic
 
-    return logs.QUERIES | ranking.QUERIES | lexical.QUERIES | semantic.QUERIES | checks.QUERIES | grids.QUERIES | learned.QUERIES
+    return logs.QUERIES | ranking.QUERIES | lexical.QUERIES | semantic.QUERIES | checks.QUERIES | grids.QUERIES | rerank.QUERIES | learned.QUERIES

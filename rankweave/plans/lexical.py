@@ -50,7 +50,7 @@ def bm25_candidates(s, d):
     q = docs.where(F.col("article_id") % EVERY == 0).select(F.col("article_id").alias("query_id"), "source")
     candidates = q.join(docs.select("article_id", "source"), "source").select("query_id", "article_id")
     p = bm25.postings(bm25.term_counts(docs, "article_id", "text"), docs, "article_id", K1, B)
-    r = bm25.score_candidates(candidates, _queries(docs), p, "query_id", "article_id")
+    r = bm25.score_candidates(candidates, _queries(docs), p, "query_id", "article_id", short_queries=True)
     return r.select("query_id", "article_id", F.round("score", 7).alias("score"))
 
 

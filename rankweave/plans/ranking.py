@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap, fusion, guards, metrics, reports
-from ..registry import SLICES
+from ..registry import RESAMPLES, SLICES
 from ..sources import sinks
 from . import base
 from .base import ARTICLES, BY_PRICE, LOG, POPULARITY, sql
 
-RESAMPLES = 200  # of the registered interval queries; the operator's default is 1,000
-
 
 def _ranked(s, d):
     return metrics.rank(base.popularity(base.basket_log(s, d)))
