@@ -23,8 +23,9 @@ Components of the shards' forests are joined by alternating large-star and small
 in 15 % of a fingerprint's bits, which no radius of a few bits reaches, and a ball so wide prunes nothing in a tree; equality on any
 of 96 bands of 20 bits found 0.96 of them, at the price of chance candidates that grow with the square of the texts (README). So
 there candidates share one of ``KEYS`` keys of ``KEY_ROWS`` minimum hashes of their runs (two texts at exactly 0.8 share none with
-a chance of (1 - 0.8**4)**32, about 5e-8), the distance of their fingerprints of 128 bits rules out those that only share a
-passage, and full sets decide. A key with many texts is first worked off by leaders - every text against one text of its keys - and
+a chance of (1 - 0.8**4)**32, about 5e-8), the distance of their fingerprints of 128 bits and a bound rule out those that only share a
+passage, and full sets decide. The bound is exact: runs that no other candidate has cannot be shared, so with c the other and own the
+lone runs of x and y the similarity is at most min(c) / (own of x + own of y + max(c)). A key with many texts is first worked off by leaders - every text against one text of its keys - and
 only texts that are still in different components are paired, so a large group of near copies costs time in proportion to its texts.
 """
 
@@ -241,19 +242,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """v, root (smallest vertex of its component) of every vertex with an edge that is not a root itself. Every round is written to the
     shared folder; hubs are pre-aggregated, and their edges may be split by adaptive execution."""
     edges = materialize(edges.where("a <> b").distinct(), "cc-edges")
-    seen = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         pairs = down.join(least, "a")
         edges = materialize(pairs.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc-round")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == seen:
+        ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("child")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("child")))
+        ends = ends.groupBy("v").agg(F.sum("child").alias("children"), F.min("child").alias("root"))
+        if not ends.where("children > 1 or (children = 1 and root = 0)").limit(1).count():  # stars: each vertex hangs on a root, once
             return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-        seen = now
     raise RuntimeError("components: no fixed point")
 
 
@@ -288,8 +288,8 @@ KEYS, KEY_ROWS = 32, 4
 #: deviation of 4; unrelated texts: 64, with one of 6).
 WIDE, STAGE_RADIUS = 2, 44
 #: Leaders of a key in a round. All remaining pairs of the keys are checked once they are at most so many per row of a key, or after
-#: so many rounds; a text that is similar to an eighth of its group has then missed it with a chance of 4 %.
-LEADERS, PAIRS_PER_ROW, LEADER_ROUNDS = 8, 4, 3
+#: so many rounds. Leaders are texts with the smallest share of own runs, the nearest to what a group's texts were copied from.
+LEADERS, PAIRS_PER_ROW, LEADER_ROUNDS = 8, 4, 1
 _HASHES = np.random.default_rng(5).integers(1, 1 << 63, (KEYS * KEY_ROWS, 2), dtype=np.uint64) | U(1)
 
 
@@ -353,20 +353,26 @@ def _marks(rows: DataFrame) -> DataFrame:
     return rows.select("tag", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(run, f"tag long, n long, {words}, keys array<long>")
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose full sets are as similar as that."""
+def _runs(rows: DataFrame) -> DataFrame:
+    """tag, runs: the distinct runs of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_ta"):
-            first, second = run_sets(b.column("_ta")), run_sets(b.column("_tb"))
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(first, second)], np.int64)
-            either = np.array([len(x) + len(y) for x, y in zip(first, second)], np.int64) - both
-            yield b.filter(pa.array(both >= similarity * either - 1e-9)).select(["a", "b"])
+        for b in blocks(batches):
+            sets = run_sets(b.column("text"))
+            ends = pa.array(np.cumsum([0] + [len(x) for x in sets]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("tag"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["tag", "runs"])
+
+    return rows.select("tag", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(run, "tag long, runs array<long>")
 
+
+def _similar(pairs: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose full sets are as similar as that."""
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("tag")).distinct(), "near-needed")
-    texts = materialize(rows.join(small(needed), "tag", "left_semi").select("tag", F.coalesce("row.text", F.lit("")).alias("text")), "near-texts")
-    side = lambda k: texts.select(F.col("tag").alias(k), F.col("text").alias(f"_t{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
+    sets = materialize(runs.join(small(needed), "tag", "left_semi"), "near-sets")
+    side = lambda k: sets.select(F.col("tag").alias(k), F.col("runs").alias(f"r{k}"))
+    both = F.size(F.array_intersect("ra", "rb"))
+    near = both >= similarity * (F.size("ra") + F.size("rb") - both) - 1e-9
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
 
 
 def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -374,37 +380,49 @@ def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataF
     table of row (with its text) and tag."""
     marks = materialize(_marks(rows), "near-marks")
     keys = F.explode("keys").alias("key")
-    shared = materialize(marks.select(keys).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "near-keys")
+    shared = materialize(marks.select(keys).groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("s")).where("s > 1"), "near-keys")
     words = [f"f{j}" for j in range(WIDE)]
-    left = materialize(marks.select("tag", "n", *words, keys).join(small(shared), "key"), "near-shared")
+    met = materialize(marks.select("tag", "n", *words, keys).join(small(shared.select("key")), "key"), "near-met")
+    runs = materialize(_runs(rows.join(small(met.select("tag").distinct()), "tag", "left_semi")), "near-runs")
+    # runs that no other of these texts has are in no intersection: own of a text's n runs
+    lone = runs.select("tag", F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("c"), F.min("tag").alias("tag")).where("c = 1")
+    lone = lone.groupBy("tag").agg(F.count(F.lit(1)).alias("own"))
+    left = met.join(lone, "tag", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    left = materialize(left.where(F.col("n") - F.col("own") >= similarity * F.col("n") - 1e-9), "near-shared")
+    shared = materialize(left.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("s")).where("s > 1"), "near-open")
     turn, roots = 0, None
     edges = left.select(F.col("tag").alias("a"), F.col("tag").alias("b")).limit(0)
     while True:
-        mine = left.withColumn("comp", F.col("tag"))
-        if roots is not None:
+        if roots is None:  # every text is a component of its own
+            mine, open_keys = left.withColumn("comp", F.col("tag")), shared.withColumn("ss", F.col("s"))
+        else:
             mine = left.join(small(roots), F.col("tag") == F.col("v"), "left").withColumn("comp", F.coalesce("root", "tag")).drop("v", "root")
-        sizes = mine.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"))
-        open_keys = materialize(sizes.where("s * s > ss"), "near-open")
+            held = mine.groupBy("key", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
+            sizes = held.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"))
+            open_keys = materialize(sizes.where("s * s > ss"), "near-open")
         count, many = open_keys.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("ss")) / 2)).first()
         if not count:
             return left.select(F.col("tag").alias("v"), F.col("tag").alias("root")).limit(0) if roots is None else roots
         last = many <= PAIRS_PER_ROW * count or turn == LEADER_ROUNDS
         mine = mine.join(small(open_keys.select("key")), "key")
-        side = lambda k: F.struct("tag", "n", "comp", *words).alias(k)
+        side = lambda k: F.struct("tag", "n", "own", "comp", *words).alias(k)
         if last:
             other = mine.select("key", F.array(F.struct(F.lit(0).alias("seat"), side("y"))).alias("lead"))
         else:
-            seats = [F.struct(F.lit(k).alias("seat"), F.min_by(side("y"), F.xxhash64("tag", F.lit(LEADERS * turn + k))).alias("y")) for k in range(LEADERS)]
+            slot, rank = F.pmod(F.xxhash64("tag", F.lit(turn)), F.lit(LEADERS)), F.struct(F.col("own") / F.col("n"), "tag")
+            seats = [F.struct(F.lit(k).alias("seat"), F.min_by(side("y"), F.when(slot == k, rank)).alias("y")) for k in range(LEADERS)]
             other = mine.groupBy("key").agg(F.array(*seats).alias("lead"))
         far = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
-        near = (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9) & (far <= STAGE_RADIUS)  # a set is no more similar than the sizes
+        held = lambda k: F.col(f"{k}.n") - F.col(f"{k}.own")
+        most, least = F.greatest(held("x"), held("y")), F.least(held("x"), held("y"))
+        near = (least >= similarity * (F.col("x.own") + F.col("y.own") + most) - 1e-9) & (far <= STAGE_RADIUS)
         pairs = mine.select("key", side("x")).join(other, "key").select("x", F.explode("lead").alias("lead")).select("x", "lead.seat", "lead.y")
         pairs = pairs.where((F.col("x.comp") != F.col("y.comp")) & near & ((F.col("x.tag") < F.col("y.tag")) if last else (F.col("x.tag") != F.col("y.tag"))))
         if not last:  # of the leaders that its keys have for a seat a text is held against one: the texts of a group have the same
-            one = F.min_by("y.tag", F.xxhash64("y.tag", F.lit(LEADERS * turn) + F.col("seat")))
+            one = F.min_by("y.tag", F.struct(F.col("y.own") / F.col("y.n"), "y.tag"))
             pairs = pairs.groupBy(F.col("x.tag").alias("t"), "seat").agg(one.alias("o")).select(F.struct(F.col("t").alias("tag")).alias("x"), F.struct(F.col("o").alias("tag")).alias("y"))
         pairs = materialize(pairs.select(F.least("x.tag", "y.tag").alias("a"), F.greatest("x.tag", "y.tag").alias("b")).distinct(), "near-pairs")
-        edges = materialize(edges.unionByName(_similar(pairs, rows, similarity)), "near-edges")
+        edges = materialize(edges.unionByName(_similar(pairs, runs, similarity)), "near-edges")
         roots = components(edges)
         if last:
             return roots
