@@ -25,7 +25,8 @@ of 96 bands of 20 bits found 0.96 of them, at the price of chance candidates tha
 there candidates share one of ``KEYS`` keys of ``KEY_ROWS`` minimum hashes of their runs (two texts at exactly 0.8 share none with
 a chance of (1 - 0.8**4)**32, about 5e-8), the distance of their fingerprints of 128 bits and a bound rule out those that only share a
 passage, and full sets decide. The bound is exact: runs that no other candidate has cannot be shared, so with c the other and own the
-lone runs of x and y the similarity is at most min(c) / (own of x + own of y + max(c)). A key with many texts is first worked off by leaders - every text against one text of its keys - and
+lone runs of x and y the similarity is at most min(c) / (own of x + own of y + max(c)); and with the other runs dealt to counters, the
+runs that only one of the two has are at least own of x + own of y + the sum of the counters' differences. A key with many texts is first worked off by leaders - every text against one text of its keys - and
 only texts that are still in different components are paired, so a large group of near copies costs time in proportion to its texts.
 """
 
@@ -290,6 +291,8 @@ WIDE, STAGE_RADIUS = 2, 44
 #: Leaders of a key in a round. All remaining pairs of the keys are checked once they are at most so many per row of a key, or after
 #: so many rounds. Leaders are texts with the smallest share of own runs, the nearest to what a group's texts were copied from.
 LEADERS, PAIRS_PER_ROW, LEADER_ROUNDS = 8, 4, 1
+#: Counters that a text's shared runs are dealt to.
+COUNTERS = 64
 _HASHES = np.random.default_rng(5).integers(1, 1 << 63, (KEYS * KEY_ROWS, 2), dtype=np.uint64) | U(1)
 
 
@@ -354,15 +357,20 @@ def _marks(rows: DataFrame) -> DataFrame:
 
 
 def _runs(rows: DataFrame) -> DataFrame:
-    """tag, runs: the distinct runs of every text."""
+    """tag, runs (the distinct runs of every text), held (how many of them each of COUNTERS counters has)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             sets = run_sets(b.column("text"))
-            ends = pa.array(np.cumsum([0] + [len(x) for x in sets]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("tag"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["tag", "runs"])
+            flat, sizes = np.concatenate(sets).view(np.int64), np.array([len(x) for x in sets])
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            cell = np.repeat(np.arange(len(sets)) * COUNTERS, sizes) + flat % COUNTERS
+            held = pa.array(np.bincount(cell, minlength=len(sets) * COUNTERS).astype(np.int32))
+            steps = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COUNTERS)
+            columns = [b.column("tag"), pa.ListArray.from_arrays(ends, pa.array(flat)), pa.ListArray.from_arrays(steps, held)]
+            yield pa.RecordBatch.from_arrays(columns, names=["tag", "runs", "held"])
 
-    return rows.select("tag", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(run, "tag long, runs array<long>")
+    return rows.select("tag", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(run, "tag long, runs array<long>, held array<int>")
 
 
 def _similar(pairs: DataFrame, runs: DataFrame, similarity: float) -> DataFrame:
@@ -386,8 +394,11 @@ def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataF
     runs = materialize(_runs(rows.join(small(met.select("tag").distinct()), "tag", "left_semi")), "near-runs")
     # runs that no other of these texts has are in no intersection: own of a text's n runs
     lone = runs.select("tag", F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("c"), F.min("tag").alias("tag")).where("c = 1")
-    lone = lone.groupBy("tag").agg(F.count(F.lit(1)).alias("own"))
-    left = met.join(lone, "tag", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    cell = F.pmod("run", F.lit(COUNTERS))
+    lone = lone.groupBy("tag").agg(F.count(F.lit(1)).alias("own"), F.array(*[F.count(F.when(cell == k, 1)) for k in range(COUNTERS)]).alias("_own"))
+    rest = F.transform(F.coalesce(F.zip_with("held", "_own", lambda a, b: a - b), "held"), lambda a: F.least(a, F.lit(127)).cast("byte"))
+    counted = runs.select("tag", "held").join(lone, "tag", "left").select("tag", F.coalesce("own", F.lit(0)).alias("own"), rest.alias("held"))
+    left = met.join(counted, "tag")
     left = materialize(left.where(F.col("n") - F.col("own") >= similarity * F.col("n") - 1e-9), "near-shared")
     shared = materialize(left.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("s")).where("s > 1"), "near-open")
     turn, roots = 0, None
@@ -405,7 +416,7 @@ def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataF
             return left.select(F.col("tag").alias("v"), F.col("tag").alias("root")).limit(0) if roots is None else roots
         last = many <= PAIRS_PER_ROW * count or turn == LEADER_ROUNDS
         mine = mine.join(small(open_keys.select("key")), "key")
-        side = lambda k: F.struct("tag", "n", "own", "comp", *words).alias(k)
+        side = lambda k: F.struct("tag", "n", "own", "held", "comp", *words).alias(k)
         if last:
             other = mine.select("key", F.array(F.struct(F.lit(0).alias("seat"), side("y"))).alias("lead"))
         else:
@@ -413,9 +424,11 @@ def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataF
             seats = [F.struct(F.lit(k).alias("seat"), F.min_by(side("y"), F.when(slot == k, rank)).alias("y")) for k in range(LEADERS)]
             other = mine.groupBy("key").agg(F.array(*seats).alias("lead"))
         far = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
-        held = lambda k: F.col(f"{k}.n") - F.col(f"{k}.own")
-        most, least = F.greatest(held("x"), held("y")), F.least(held("x"), held("y"))
-        near = (least >= similarity * (F.col("x.own") + F.col("y.own") + most) - 1e-9) & (far <= STAGE_RADIUS)
+        rest = lambda k: F.col(f"{k}.n") - F.col(f"{k}.own")
+        owns, all_runs = F.col("x.own") + F.col("y.own"), F.col("x.n") + F.col("y.n")
+        near = (F.least(rest("x"), rest("y")) >= similarity * (owns + F.greatest(rest("x"), rest("y"))) - 1e-9) & (far <= STAGE_RADIUS)
+        apart = F.aggregate(F.zip_with("x.held", "y.held", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda a, b: a + b)
+        near = near & ((1 + similarity) * (owns + apart) <= (1 - similarity) * all_runs + 1e-9)  # runs of only one of the two, at least
         pairs = mine.select("key", side("x")).join(other, "key").select("x", F.explode("lead").alias("lead")).select("x", "lead.seat", "lead.y")
         pairs = pairs.where((F.col("x.comp") != F.col("y.comp")) & near & ((F.col("x.tag") < F.col("y.tag")) if last else (F.col("x.tag") != F.col("y.tag"))))
         if not last:  # of the leaders that its keys have for a seat a text is held against one: the texts of a group have the same
