@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import text
 from rankweave.functions.columns import half
-from rankweave.operators import models, reports
+from rankweave.operators import models, reports, vectors
 from rankweave.operators.guards import GuardError
 from rankweave.sources import sinks
 
@@ -64,3 +64,12 @@ def test_time_ranges_are_apart(spark, tmp_path):
     got = spark.read.parquet(path)
     spans = sorted((r.lo, r.hi) for r in got.groupBy(F.input_file_name().alias("f")).agg(F.min("us").alias("lo"), F.max("us").alias("hi")).collect())
     assert got.count() == 20000 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_search_scores_are_rounded_once(spark):
+    score = 0.1234564998  # 0.123456 to six places; 0.1234565 to nine, and that to six would be 0.123457
+    v = spark.createDataFrame([(2, [score]), (1, [score - 1e-12]), (3, [0.1])], "article_id long, vec array<double>")
+    q = spark.createDataFrame([(7, [1.0])], "query_id long, vec array<double>")
+    got = vectors.top_k(q, v, 3).select("article_id", F.round("score", 6).alias("s"), "score").orderBy("rank").collect()
+    assert [(r.article_id, r.s) for r in got] == [(1, 0.123456), (2, 0.123456), (3, 0.1)]  # equal to nine places: by id
+    assert got[1].score == score
