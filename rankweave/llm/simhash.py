@@ -19,15 +19,17 @@ bits apart (of 64) are found exactly:
 
 Components of the shards' forests are joined by alternating large-star and small-star steps on tables.
 
-``keep_one`` is the pipeline's stage: texts whose sets of 5-word runs have a Jaccard similarity of 0.8 or more. Such texts differ
-in 15 % of a fingerprint's bits, which no radius of a few bits reaches, and a ball so wide prunes nothing in a tree; equality on any
-of 96 bands of 20 bits found 0.96 of them, at the price of chance candidates that grow with the square of the texts (README). So
-there candidates share one of ``KEYS`` keys of ``KEY_ROWS`` minimum hashes of their runs (two texts at exactly 0.8 share none with
-a chance of (1 - 0.8**4)**32, about 5e-8), the distance of their fingerprints of 128 bits and a bound rule out those that only share a
-passage, and full sets decide. The bound is exact: runs that no other candidate has cannot be shared, so with c the other and own the
-lone runs of x and y the similarity is at most min(c) / (own of x + own of y + max(c)); and with the other runs dealt to counters, the
-runs that only one of the two has are at least own of x + own of y + the sum of the counters' differences. A key with many texts is first worked off by leaders - every text against one text of its keys - and
-only texts that are still in different components are paired, so a large group of near copies costs time in proportion to its texts.
+``keep_one`` is the pipeline's stage: texts whose sets of 5-word runs have a Jaccard similarity of 0.8 or more. At most 15 % of such
+texts' fingerprint bits differ on average, which no radius of a few bits reaches, and a ball so wide prunes nothing in a tree. So the
+stage has its own forest: fingerprints of 512 bits, and trees that each measure a few of them at radius 0 - just as many as give shards
+of a bounded size. A text visits one shard of each tree, and there every pair is compared on all bits: the trees need not agree on
+what is near, only bring a near pair together once (``MISS``). What leaves a shard are its clusters, a row for each text, no pairs.
+
+Exact steps follow. Runs that no other candidate has cannot be shared, so with c the other and own the lone runs of x and y the
+similarity is at most min(c) / (own of x + own of y + max(c)); and with the other runs dealt to counters, the runs that only one of the
+two has are at least own of x + own of y + the sum of the counters' differences. Full sets decide. A cluster is first worked off by
+leaders - every text against a few texts of its clusters - and only texts that are still in different components are paired, those with
+many lone runs only with those that have few enough, so a large group of near copies costs time in proportion to its texts.
 """
 
 from __future__ import annotations
@@ -94,20 +96,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 class Tree:
     """One vantage-point tree in arrays; a child below zero is the shard ``-child - 1``."""
 
-    def __init__(self, sample: np.ndarray, band: np.uint64, shards: int):
+    def __init__(self, sample: np.ndarray, band: np.uint64, shards: int, whole: bool = True):
+        self.masks = (band, FULL) if whole else (band,)
         self.vp: list[int] = []
         self.mask: list[int] = []
         self.mu: list[int] = []
         self.child: list[list[int]] = []
         self.shards = 0
         least = max(1, len(sample) // shards)
-        self.root = self._grow(sample, band, least, int(np.ceil(np.log2(max(2, shards)))) + 4)
+        self.root = self._grow(sample, least, int(np.ceil(np.log2(max(2, shards)))) + 4)
         self.vp, self.mask = np.array(self.vp, np.uint64), np.array(self.mask, np.uint64)
         self.mu, self.child = np.array(self.mu, np.int16), np.array(self.child, np.int32).reshape(-1, 2)
 
-    def _grow(self, points: np.ndarray, band: np.uint64, least: int, depth: int) -> int:
+    def _grow(self, points: np.ndarray, least: int, depth: int) -> int:
         if len(points) > least and depth > 0:
-            for mask in (band, FULL):
+            for mask in self.masks:
                 for v in points[[0, len(points) // 3, 2 * len(points) // 3]]:
                     d = np.bitwise_count((points ^ v) & mask)
                     mu = int(np.median(d))
@@ -118,7 +121,7 @@ class Tree:
                         self.mask.append(int(mask))
                         self.mu.append(mu)
                         self.child.append([0, 0])
-                        self.child[node] = [self._grow(points[left], band, least, depth - 1), self._grow(points[~left], band, least, depth - 1)]
+                        self.child[node] = [self._grow(points[left], least, depth - 1), self._grow(points[~left], least, depth - 1)]
                         return node
         self.shards += 1
         return -self.shards
@@ -149,12 +152,12 @@ def build_forest(sample: np.ndarray, n: int) -> list[Tree]:
     return [Tree(sample, band, shards) for band in BANDS]
 
 
-def splits(tree: Tree, sample: np.ndarray, n: int) -> np.ndarray:
+def splits(tree: Tree, sample: np.ndarray, n: int, most: int | None = None) -> np.ndarray:
     """Into how many parts the members of each leaf are dealt out by their band's value, from the sample's share of ``n`` points."""
     held = np.zeros(tree.shards, np.int64)
     for _, shard, _ in tree.visit(sample):
         held += np.bincount(shard, minlength=tree.shards)
-    return np.maximum(1, np.ceil(held * (n / max(len(sample), 1)) / SHARD)).astype(np.int64)
+    return np.maximum(1, np.ceil(held * (n / max(len(sample), 1)) / (most or SHARD))).astype(np.int64)
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -283,17 +286,22 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words of a run and least Jaccard similarity of the stage.
 RUN, SIMILARITY = 5, 0.8
-#: Keys of a text and the minimum hashes in each.
-KEYS, KEY_ROWS = 32, 4
-#: 64-bit words of its fingerprints, and the most bits that candidates differ in (at similarity 0.8: 19 of 128, with a standard
-#: deviation of 4; unrelated texts: 64, with one of 6).
-WIDE, STAGE_RADIUS = 2, 44
+#: 64-bit words of its fingerprints. At similarity s at most arccos(2 s / (1 + s)) / pi of the bits differ, on average (at 0.8: 78 of
+#: 512, with a standard deviation of 8; unrelated texts: 256, with one of 11); pairs beyond FAR deviations more are ruled out.
+WIDE, FAR = 8, 6
+#: Texts aimed at in a shard of the stage, least and most leaves of a tree, bits of its band beyond the logarithm of the leaves, and the
+#: chance at which as many trees as are grown may all miss a pair at the least similarity; the most texts that they are fitted on.
+STAGE_SHARD, STAGE_LEAST, STAGE_MOST, SPARE_BITS, MISS, STAGE_SAMPLE = 5_000, 4, 1 << 14, 1, 0.001, 20_000
+#: Texts of a shard that all others are held against first, and pairs that a task holds at a time.
+PIVOTS, PAIRS = 16, 200_000
+#: Rows of keys that a task searches together (a key's rows always are).
+BUCKET = 50_000
 #: Leaders of a key in a round. All remaining pairs of the keys are checked once they are at most so many per row of a key, or after
 #: so many rounds. Leaders are texts with the smallest share of own runs, the nearest to what a group's texts were copied from.
 LEADERS, PAIRS_PER_ROW, LEADER_ROUNDS = 8, 4, 1
 #: Counters that a text's shared runs are dealt to.
 COUNTERS = 64
-_HASHES = np.random.default_rng(5).integers(1, 1 << 63, (KEYS * KEY_ROWS, 2), dtype=np.uint64) | U(1)
+_WORDS = [f"f{j}" for j in range(WIDE)]
 
 
 def run_sets(column: pa.Array, k: int = RUN) -> list[np.ndarray]:
@@ -314,46 +322,251 @@ def run_sets(column: pa.Array, k: int = RUN) -> list[np.ndarray]:
     return out
 
 
-def wide_fingerprints(sets: list[np.ndarray], chunk: int = 100_000) -> np.ndarray:
-    """(texts, WIDE): a bit is 1 if it is set in over half of the text's runs; every word hashes the runs anew."""
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """(texts, WIDE): a bit is 1 if it is set in over half of the text's runs (in just half: if it is in the smallest run); every word
+    hashes the runs anew. Eight bits are counted in the bytes of one number, in pieces of at most 255 runs."""
     flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
-    doc, out = np.repeat(np.arange(len(sets)), sizes), np.empty((len(sets), WIDE), np.uint64)
+    starts, pieces = np.cumsum(sizes) - sizes, -(-sizes // 255)
+    first, doc = np.cumsum(pieces) - pieces, np.repeat(np.arange(len(sets)), pieces)
+    cuts = starts[doc] + 255 * (np.arange(len(doc)) - first[doc])
+    out = np.empty((len(sets), WIDE), np.uint64)
     for j in range(WIDE):
-        ones = np.zeros((len(sets), 64), np.int64)
-        for a in range(0, len(flat), chunk):
-            d = doc[a : a + chunk]
-            at = np.flatnonzero(np.diff(d, prepend=-1))
-            bits = np.unpackbits(mix(flat[a : a + chunk] + U(7919 * (j + 1))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[d[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-        out[:, j] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        h = mix(flat + U(7919 * (j + 1)))
+        ones = np.empty((len(sets), 8, 8), np.int64)
+        for k in range(8):
+            lanes = np.add.reduceat((h >> U(k)) & U(0x0101010101010101), cuts)
+            ones[:, :, k] = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+        tie = np.unpackbits(h[starts].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[:, j] = np.packbits(2 * ones.reshape(-1, 64) + tie > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
-def minimum_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """(texts, KEYS): each key mixes KEY_ROWS minimum hashes."""
-    flat, starts = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets[:-1]])
-    keys = np.empty((len(sets), KEYS), np.uint64)
-    for b in range(KEYS):
-        key = np.full(len(sets), b + 1, np.uint64)
-        for a, c in _HASHES[b * KEY_ROWS : (b + 1) * KEY_ROWS]:
-            key = mix(key * U(3) + np.minimum.reduceat(flat * a + c, starts))
-        keys[:, b] = key
-    return keys
-
-
 def _marks(rows: DataFrame) -> DataFrame:
-    """tag, n (distinct runs), f0.. (the fingerprint's words), keys: a row per text."""
+    """tag, n (distinct runs), f0.. (the fingerprint's words): a row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             sets = run_sets(b.column("text"))
             f = wide_fingerprints(sets)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * KEYS), pa.array(minimum_keys(sets).ravel().view(np.int64)))
-            columns = [b.column("tag"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(f[:, j].view(np.int64)) for j in range(WIDE)), keys]
-            yield pa.RecordBatch.from_arrays(columns, names=["tag", "n", *(f"f{j}" for j in range(WIDE)), "keys"])
+            columns = [b.column("tag"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(f[:, j].view(np.int64)) for j in range(WIDE))]
+            yield pa.RecordBatch.from_arrays(columns, names=["tag", "n", *_WORDS])
+
+    words = ", ".join(f"{w} long" for w in _WORDS)
+    return rows.select("tag", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(run, f"tag long, n long, {words}")
+
+
+# ---- the stage's forest
+
+
+def differing(similarity: float) -> float:
+    """The share of bits that differ, on average, at most: equal sizes give sets of a similarity the smallest cosine."""
+    return float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+
+
+def radius(similarity: float) -> int:
+    p, m = differing(similarity), 64 * WIDE
+    return int(np.ceil(m * p + FAR * np.sqrt(m * p * (1 - p))))
+
+
+def stage_bands(n: int, similarity: float) -> tuple[int, list[np.ndarray]]:
+    """The least leaves of a tree and, for every tree, the places of the bits that it measures. Twice as many texts take a
+    bit more, so the number of trees grows as the texts to the power of 0.24."""
+    shards = min(max(STAGE_LEAST, -(-n // STAGE_SHARD)), STAGE_MOST)
+    bits = int(np.ceil(np.log2(shards))) + SPARE_BITS
+    hit = min((1 - differing(similarity)) ** bits, 1 - 1e-9)
+    r = np.random.default_rng(5)
+    return shards, [np.sort(r.permutation(64 * WIDE)[:bits]) for _ in range(int(np.ceil(np.log(MISS) / np.log1p(-hit))))]
+
+
+def _words(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.stack([np.asarray(table.column(w)).view(np.uint64) for w in _WORDS], axis=1)
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words, "<u8").view(np.uint8).reshape(len(words), 8 * WIDE), axis=1, bitorder="little")
+
+
+def band_points(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(bits), 8), np.uint8)
+    packed = np.packbits(bits[:, places], axis=1, bitorder="little")
+    out[:, : packed.shape[1]] = packed
+    return out.view("<u8")[:, 0]
 
-    words = ", ".join(f"f{j} long" for j in range(WIDE))
-    return rows.select("tag", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(run, f"tag long, n long, {words}, keys array<long>")
+
+def clusters(fp: np.ndarray, most: int, word: int, limit: int) -> np.ndarray:
+    """The least row of every row's cluster: rows at most ``most`` bits apart are in one. A pair is looked at if a word of it differs in
+    at most ``limit`` bits. Rows near a pivot are in its cluster, and two rows of the largest of these clusters are not compared, so a
+    dense group costs time in proportion to its rows."""
+    label, first = np.arange(len(fp)), np.ascontiguousarray(fp[:, word])
+
+    def near(i, j):
+        return np.bitwise_count(fp[i] ^ fp[j]).sum(-1) <= most
+
+    for i in np.unique(np.linspace(0, len(fp) - 1, PIVOTS).astype(np.int64)).tolist():
+        j = np.flatnonzero(near(i, slice(None)))
+        label = _merge(label, np.full(len(j), i), j)
+    inside = label == np.bincount(label).argmax()
+    order = np.concatenate((np.flatnonzero(~inside), np.flatnonzero(inside)))
+    ordered, rest = first[order], len(fp) - int(inside.sum())
+    step = max(1, PAIRS // max(1, len(fp)))
+    for a in range(0, rest, step):
+        b = min(a + step, rest)
+        i, j = np.nonzero(np.bitwise_count(ordered[a:b, None] ^ ordered[None, a:]) <= limit)
+        later = i < j
+        i, j = order[a + i[later]], order[a + j[later]]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        ok = near(i, j)
+        label = _merge(label, i[ok], j[ok])
+    return label
+
+
+def forest_members(marks: DataFrame, n: int, similarity: float) -> DataFrame:
+    """key, tag: a key is a cluster of texts in a shard of a tree. A text visits one shard of each tree (its band is measured at
+    radius 0); every pair of a shard within the radius on all bits is in one cluster, and only texts with a neighbour leave it."""
+    shards, chosen = stage_bands(n, similarity)
+    band = U((1 << len(chosen[0])) - 1)
+    keep = min(1.0, STAGE_SAMPLE / max(n, 1))
+    some = marks if keep == 1.0 else marks.where(F.pmod(F.xxhash64("tag"), F.lit(1_000_000)) < int(keep * 1_000_000))
+    sample = _bits(np.array([list(r) for r in some.select(*_WORDS).collect()], np.int64).reshape(-1, WIDE).view(np.uint64))  # bounded: STAGE_SAMPLE
+    fitted = [band_points(sample, places) for places in chosen]
+    forest = [Tree(points, band, shards, whole=False) for points in fitted]
+    parts = [splits(t, points, n, STAGE_SHARD) for t, points in zip(forest, fitted)]
+    starts = [np.concatenate(([0], np.cumsum(p)[:-1])) for p in parts]
+    first = np.cumsum([0] + [int(p.sum()) for p in parts])
+    p, most = differing(similarity), radius(similarity)
+    limit = int(np.ceil(64 * p + 4 * np.sqrt(64 * p * (1 - p))))  # of a word, another one in the next tree
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tags, words = np.asarray(b.column("tag")), _words(b)
+            bits = _bits(words)
+            for k, tree in enumerate(forest):
+                value = band_points(bits, chosen[k])
+                dealt = mix(value + U(k + 1))
+                shard = np.empty(len(value), np.int64)
+                for at, leaf, _ in tree.visit(value):
+                    shard[at] = first[k] + starts[k][leaf] + (dealt[at] % parts[k][leaf].astype(np.uint64)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                begin, size = _groups(shard[order])
+                sent = [order[x : x + s] for x, s in zip(begin.tolist(), size.tolist())]  # a row holds what a batch sends to a shard
+                columns = [pa.array(shard[order][begin]), pa.array([tags[x].tobytes() for x in sent], pa.binary()), pa.array([words[x].tobytes() for x in sent], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "tags", "words"])
+
+    def search(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        tags = np.frombuffer(b"".join(table.column("tags").to_pylist()), np.int64)
+        fp = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint64).reshape(-1, WIDE)
+        label = clusters(fp, most, (int(np.searchsorted(first, shard, "right")) - 1) % WIDE, limit)
+        met = np.bincount(label, minlength=len(label))[label] > 1
+        key = mix(mix(tags[label[met]].view(np.uint64)) + U(shard + 1))
+        return pa.table({"key": key.view(np.int64), "tag": tags[met]})
+
+    return marks.select("tag", *_WORDS).mapInArrow(visits, "shard long, tags binary, words binary").groupBy("shard").applyInArrow(search, "key long, tag long")
+
+
+def _spans(first: np.ndarray, count: np.ndarray, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, partner) for the partners first .. first + count - 1 of every row, about ``most`` pairs at a time."""
+    most = most or PAIRS
+    ends = np.cumsum(count)
+    start = 0
+    while start < len(count):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        n = count[start:stop]
+        yield np.repeat(np.arange(start, stop), n), np.repeat(first[start:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        start = stop
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and size of every run of equal keys."""
+    starts = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+    return starts, np.diff(np.append(starts, len(key)))
+
+
+class Bounds:
+    """The rows of some keys, ordered as asked, and which of their pairs the exact bounds leave."""
+
+    def __init__(self, table: pa.Table, similarity: float, order):
+        x = {c: np.asarray(table.column(c)) for c in ("key", "tag", "n", "own", "comp")}
+        held = table.column("held").combine_chunks()
+        held = (held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held).flatten()
+        at = order(x)
+        self.key, self.tag, self.n, self.own, self.comp = (x[c][at] for c in ("key", "tag", "n", "own", "comp"))
+        self.held, self.fp = np.asarray(held).reshape(-1, COUNTERS)[at].astype(np.int16), _words(table)[at]
+        self.similarity, self.most = similarity, radius(similarity)
+
+    def left(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s, n, own = self.similarity, self.n, self.own
+        ok = self.comp[i] != self.comp[j]
+        i, j = i[ok], j[ok]
+        owns, rest_i, rest_j = own[i] + own[j], n[i] - own[i], n[j] - own[j]
+        ok = np.minimum(rest_i, rest_j) >= s * (owns + np.maximum(rest_i, rest_j)) - 1e-9
+        i, j = i[ok], j[ok]
+        ok = np.bitwise_count(self.fp[i] ^ self.fp[j]).sum(-1) <= self.most
+        i, j = i[ok], j[ok]
+        apart = np.abs(self.held[i] - self.held[j]).sum(-1, dtype=np.int64)  # runs of only one of the two, with owns, at least
+        ok = (1 + s) * (own[i] + own[j] + apart) <= (1 - s) * (n[i] + n[j]) + 1e-9
+        return i[ok], j[ok]
+
+
+def held_against(table: pa.Table, similarity: float, turn: int) -> pa.Table:
+    """t, seat, share, o: every text of some keys and the leaders of its key that the bounds leave; of each seat, the text with the
+    smallest share of own runs leads."""
+    b = Bounds(table, similarity, lambda x: np.lexsort((x["tag"], x["own"] / x["n"], x["key"])))
+    seat, (starts, sizes) = (mix(b.tag.view(np.uint64) + U(turn + 1)) % U(LEADERS)).astype(np.int64), _groups(b.key)
+    group = np.repeat(np.arange(len(starts)), sizes)
+    lead = np.sort(np.unique(group * LEADERS + seat, return_index=True)[1])
+    first = np.searchsorted(group[lead], np.arange(len(starts) + 1))
+    out: tuple[list, list, list, list] = [], [], [], []
+    for i, j in _spans(first[group], np.diff(first)[group]):
+        i, j = b.left(i, lead[j])
+        for column, x in zip(out, (b.tag[i], seat[j], b.own[j] / b.n[j], b.tag[j])):
+            column.append(x)
+    return pa.table({c: np.concatenate(x) for c, x in zip(("t", "seat", "share", "o"), out)})
+
+
+def remaining_pairs(table: pa.Table, similarity: float) -> pa.Table:
+    """a, b: the pairs of some keys' texts in different components that the bounds leave. With slack = (1 - s) n - (1 + s) own a pair's
+    slacks must not sum below zero: rows go by falling slack, and a text meets only the first ones that make up for its own. Two texts of a
+    key's largest component are never met."""
+
+    kept: dict[str, np.ndarray] = {}
+
+    def order(x):
+        slack = np.floor(1000 * ((1 - similarity) * x["n"] - (1 + similarity) * x["own"])).astype(np.int64) + 1
+        by = np.lexsort((x["comp"], x["key"]))
+        runs = np.flatnonzero(np.concatenate(([True], (np.diff(x["key"][by]) != 0) | (np.diff(x["comp"][by]) != 0))))
+        sizes = np.diff(np.append(runs, len(by)))
+        largest = np.lexsort((runs, -sizes, x["key"][by][runs]))  # the first of a key is its largest component
+        largest = largest[_groups(x["key"][by][runs][largest])[0]]
+        main = np.zeros(len(runs), bool)
+        main[largest] = True
+        inside = np.empty(len(by), bool)
+        inside[by] = np.repeat(main, sizes)
+        at = np.lexsort((x["tag"], -slack, inside, x["key"]))
+        kept["slack"], kept["main"] = slack[at], inside[at]
+        return at
+
+    b = Bounds(table, similarity, order)
+    slack, main = kept["slack"], kept["main"]
+    starts, counts = _groups(b.key)
+    part = 2 * np.repeat(np.arange(len(starts)), counts) + main  # a key's others, then its largest component
+    sizes = np.bincount(part, minlength=2 * len(starts))
+    place = (part << 36) - slack  # ascending
+    start = np.cumsum(sizes) - sizes
+    others = np.flatnonzero(~main)
+    found: list[np.ndarray] = []
+    for which in (0, 1):
+        p = part[others] + which
+        reach = np.searchsorted(place, (p << 36) + slack[others], "right") - start[p]
+        count = np.clip(reach, 0, sizes[p] if which else others - start[p])
+        for i, j in _spans(start[p], count):
+            i, j = b.left(others[i], j)
+            if len(i):
+                x, y = b.tag[i], b.tag[j]
+                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -387,10 +600,8 @@ def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataF
     """v, root (smallest tag of its component) of every row that is similar to another and not the root; ``rows`` is a written
     table of row (with its text) and tag."""
     marks = materialize(_marks(rows), "near-marks")
-    keys = F.explode("keys").alias("key")
-    shared = materialize(marks.select(keys).groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("s")).where("s > 1"), "near-keys")
-    words = [f"f{j}" for j in range(WIDE)]
-    met = materialize(marks.select("tag", "n", *words, keys).join(small(shared.select("key")), "key"), "near-met")
+    met = materialize(forest_members(marks, marks.count(), similarity), "near-keys")
+    met = materialize(met.join(marks, "tag").select("key", "tag", "n", *_WORDS), "near-met")
     runs = materialize(_runs(rows.join(small(met.select("tag").distinct()), "tag", "left_semi")), "near-runs")
     # runs that no other of these texts has are in no intersection: own of a text's n runs
     lone = runs.select("tag", F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("c"), F.min("tag").alias("tag")).where("c = 1")
@@ -416,25 +627,13 @@ def similar_components(rows: DataFrame, similarity: float = SIMILARITY) -> DataF
             return left.select(F.col("tag").alias("v"), F.col("tag").alias("root")).limit(0) if roots is None else roots
         last = many <= PAIRS_PER_ROW * count or turn == LEADER_ROUNDS
         mine = mine.join(small(open_keys.select("key")), "key")
-        side = lambda k: F.struct("tag", "n", "own", "held", "comp", *words).alias(k)
+        mine = mine.select("key", "tag", "n", "own", "held", "comp", *_WORDS).groupBy(F.pmod("key", F.lit(max(1, -(-int(count) // BUCKET)))))
         if last:
-            other = mine.select("key", F.array(F.struct(F.lit(0).alias("seat"), side("y"))).alias("lead"))
-        else:
-            slot, rank = F.pmod(F.xxhash64("tag", F.lit(turn)), F.lit(LEADERS)), F.struct(F.col("own") / F.col("n"), "tag")
-            seats = [F.struct(F.lit(k).alias("seat"), F.min_by(side("y"), F.when(slot == k, rank)).alias("y")) for k in range(LEADERS)]
-            other = mine.groupBy("key").agg(F.array(*seats).alias("lead"))
-        far = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
-        rest = lambda k: F.col(f"{k}.n") - F.col(f"{k}.own")
-        owns, all_runs = F.col("x.own") + F.col("y.own"), F.col("x.n") + F.col("y.n")
-        near = (F.least(rest("x"), rest("y")) >= similarity * (owns + F.greatest(rest("x"), rest("y"))) - 1e-9) & (far <= STAGE_RADIUS)
-        apart = F.aggregate(F.zip_with("x.held", "y.held", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda a, b: a + b)
-        near = near & ((1 + similarity) * (owns + apart) <= (1 - similarity) * all_runs + 1e-9)  # runs of only one of the two, at least
-        pairs = mine.select("key", side("x")).join(other, "key").select("x", F.explode("lead").alias("lead")).select("x", "lead.seat", "lead.y")
-        pairs = pairs.where((F.col("x.comp") != F.col("y.comp")) & near & ((F.col("x.tag") < F.col("y.tag")) if last else (F.col("x.tag") != F.col("y.tag"))))
-        if not last:  # of the leaders that its keys have for a seat a text is held against one: the texts of a group have the same
-            one = F.min_by("y.tag", F.struct(F.col("y.own") / F.col("y.n"), "y.tag"))
-            pairs = pairs.groupBy(F.col("x.tag").alias("t"), "seat").agg(one.alias("o")).select(F.struct(F.col("t").alias("tag")).alias("x"), F.struct(F.col("o").alias("tag")).alias("y"))
-        pairs = materialize(pairs.select(F.least("x.tag", "y.tag").alias("a"), F.greatest("x.tag", "y.tag").alias("b")).distinct(), "near-pairs")
+            pairs = mine.applyInArrow(lambda table: remaining_pairs(table, similarity), "a long, b long")
+        else:  # of the leaders that its keys have for a seat a text is held against one: the texts of a group have the same
+            against = mine.applyInArrow(lambda table: held_against(table, similarity, turn), "t long, seat long, share double, o long")
+            pairs = against.groupBy("t", "seat").agg(F.min_by("o", F.struct("share", "o")).alias("o")).select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
+        pairs = materialize(pairs.distinct(), "near-pairs")
         edges = materialize(edges.unionByName(_similar(pairs, runs, similarity)), "near-edges")
         roots = components(edges)
         if last:

@@ -213,6 +213,71 @@ def test_pipeline_near_copies_of_five_word_similarity(spark, monkeypatch, budget
     assert sorted(x.doc_id for x in kept.collect()) == sorted({c + 1 for c in comp})
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
 
+def test_near_copies_are_found_by_the_forest_of_trees(spark, monkeypatch):
+    import corpus_pipeline
+
+    grown, rows = [], {}
+
+    class Grown(simhash.Tree):
+        def __init__(self, *args, **kw):
+            super().__init__(*args, **kw)
+            grown.append(self)
+
+    def counted(df, name, write=simhash.materialize):
+        out = write(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "Tree", Grown)
+    monkeypatch.setattr(simhash, "materialize", counted)
+    monkeypatch.setattr(simhash, "PAIRS_PER_ROW", 0)  # leaders first
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdef") for _ in range(5)) for _ in range(150)]
+    texts = []
+    for _ in range(250):  # one large group: some are similar to the text that all come from, some to no other
+        copy = base[:]
+        for i in r.sample(range(len(copy)), r.randrange(9)):
+            copy[i] = f"w{r.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    sets, comp = [brute_runs(t) for t in texts], list(range(len(texts)))
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in range(5):
+        for i, j in near:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    kept = corpus_pipeline.drop_near_copies(spark, make(spark, texts), "")
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({c + 1 for c in comp}) and 1 < len(set(comp)) < 200
+    assert grown  # the method's trees bring the pairs together
+    assert len(grown) == len(simhash.stage_bands(len(texts), simhash.SIMILARITY)[1])
+    assert max(rows.values()) <= len(grown) * len(texts) < len(near)  # no table holds the group's pairs
+
+
+def test_clusters_and_remaining_pairs_match_brute_force():
+    rng = np.random.default_rng(3)
+    flip = lambda x, k: x ^ np.bitwise_or.reduce([np.uint64(1) << np.uint64(i) for i in rng.permutation(64)[:k]] or [np.uint64(0)])
+    fp = rng.integers(0, 1 << 63, (60, simhash.WIDE), dtype=np.uint64)
+    fp = np.array([[flip(w, rng.integers(0, 9)) for w in fp[i]] for i in [0] * 90 + [1] * 60 + list(range(2, 60))])
+    most = 80
+    i, j = np.triu_indices(len(fp), 1)
+    ok = np.bitwise_count(fp[i] ^ fp[j]).sum(1) <= most
+    want = simhash._merge(np.arange(len(fp)), i[ok], j[ok])
+    assert (simhash.clusters(fp, most, 1, 64) == want).all() and len(set(want)) > 20
+    # the pairs of each key that the bounds leave
+    m, c = 400, simhash.COUNTERS
+    n = rng.integers(20, 60, m)
+    own = (n * rng.choice([0, 0.05, 0.1, 0.15, 0.2], m)).astype(np.int64)
+    x = {"key": rng.integers(-3, 3, m), "tag": rng.permutation(m), "n": n, "own": own, "comp": rng.integers(0, 4, m) * rng.integers(0, 2, m)}
+    held = np.zeros((m, c), np.int8)
+    for k in range(m):
+        held[k, : n[k] - own[k]] = 1
+    same = {f"f{k}": np.zeros(m, np.int64) for k in range(simhash.WIDE)}
+    table = pa.table({**x, **same, "held": pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * c), pa.array(held.ravel()))})
+    got = {(a, b) for a, b in zip(*simhash.remaining_pairs(table, 0.8).to_pydict().values())}
+    b = simhash.Bounds(table, 0.8, lambda x: np.arange(m))
+    i, j = np.triu_indices(m, 1)
+    i, j = b.left(i[b.key[i] == b.key[j]], j[b.key[i] == b.key[j]])
+    assert got == {(min(p, q), max(p, q)) for p, q in zip(b.tag[i].tolist(), b.tag[j].tolist())} and len(got) > 100
+
+
 # ---- secrets
 
 
