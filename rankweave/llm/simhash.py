@@ -291,7 +291,7 @@ RUN, SIMILARITY = 5, 0.8
 WIDE, FAR = 8, 6
 #: Texts aimed at in a shard of the stage, least and most leaves of a tree, bits of its band beyond the logarithm of the leaves, and the
 #: chance at which as many trees as are grown may all miss a pair at the least similarity; the most texts that they are fitted on.
-STAGE_SHARD, STAGE_LEAST, STAGE_MOST, SPARE_BITS, MISS, STAGE_SAMPLE = 5_000, 4, 1 << 14, 1, 0.001, 20_000
+STAGE_SHARD, STAGE_LEAST, STAGE_MOST, SPARE_BITS, MISS, STAGE_SAMPLE = 5_000, 4, 1 << 14, 1, 1e-5, 20_000
 #: Texts of a shard that all others are held against first, and pairs that a task holds at a time.
 PIVOTS, PAIRS = 16, 200_000
 #: Rows of keys that a task searches together (a key's rows always are).
