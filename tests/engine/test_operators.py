@@ -142,6 +142,29 @@ def test_bootstrap(spark):
     assert a == b and a.lo < 0.5 < a.hi and a.hi - a.lo == pytest.approx(4 * 0.5 / 20, rel=0.5)
 
 
+def test_bootstrap_weights_are_the_hashes(spark):
+    keys = ["0", "17", "123456789", "", "\u00f8" * 20, "x" * 52, "x" * 53, "y" * 130]
+    drawn = np.full((1203, len(keys)), -1.0)
+    for r, at, weight in bootstrap.hash_weights(keys, len(drawn)):
+        drawn[r, at] = weight
+    rows = spark.createDataFrame([(r, i, k) for r in (0, 9, 10, 99, 100, 999, 1202) for i, k in enumerate(keys)], "r int, i int, k string")
+    for x in rows.withColumn("w", bootstrap.poisson_weight(bootstrap.hash_uniform(F.col("r"), F.col("k")))).collect():
+        assert drawn[x.r, x.i] == x.w
+
+
+def test_bootstrap_makes_no_row_per_draw(spark):
+    """The plan holds no row for each (resample, impression); groups and missing values are kept apart."""
+    v = spark.createDataFrame([(i, i % 2, None if i % 5 == 0 else float(i % 3)) for i in range(60)], "impression_id long, g int, m double")
+    df = bootstrap.interval(v, "m", resamples=30, by=("g",))
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.g: r for r in df.collect()}
+    for g in (0, 1):
+        one = bootstrap.interval(v.where(f"g = {g}"), "m", resamples=30).first()
+        assert (one.n, one.mean, one.lo, one.hi) == pytest.approx((got[g].n, got[g].mean, got[g].lo, got[g].hi)) and one.n == 24
+    none = bootstrap.interval(v.where("m is null"), "m", resamples=30).first()
+    assert (none.n, none.mean, none.lo, none.hi) == (0, None, None, None)
+
+
 def test_features_schema_is_closed():
     features.check_columns(["impression_id", "label", "ann_score"])
     for bad in (["nonsense"], ["past_dwell", "past_dwell"], ["next_read_time"], ["x_label"]):
