@@ -73,3 +73,17 @@ def test_search_scores_are_rounded_once(spark):
     got = vectors.top_k(q, v, 3).select("article_id", F.round("score", 6).alias("s"), "score").orderBy("rank").collect()
     assert [(r.article_id, r.s) for r in got] == [(1, 0.123456), (2, 0.123456), (3, 0.1)]  # equal to nine places: by id
     assert got[1].score == score
+
+
+def test_best_keeps_no_more_than_its_rows():
+    from rankweave.operators.best import Best
+
+    r = np.random.default_rng(2)
+    x, keys = np.round(r.random((6, 500)), 2), r.permutation(500)  # many ties
+    best = Best(4, 6)
+    for i in range(0, 500, 70):
+        for lo in (0, 3):
+            best.add(lo, x[lo : lo + 3, i : i + 70], keys[i : i + 70])
+        assert sum(len(q) for q, *_ in best.rows()) <= 24
+    got = {(q, k) for qs, ks, *_ in best.rows() for q, k in zip(qs.tolist(), ks.tolist())}
+    assert got == {(q, int(keys[j])) for q in range(6) for j in np.lexsort((keys, -x[q]))[:4]}
