@@ -87,3 +87,16 @@ def test_best_keeps_no_more_than_its_rows():
         assert sum(len(q) for q, *_ in best.rows()) <= 24
     got = {(q, k) for qs, ks, *_ in best.rows() for q, k in zip(qs.tolist(), ks.tolist())}
     assert got == {(q, int(keys[j])) for q in range(6) for j in np.lexsort((keys, -x[q]))[:4]}
+
+
+def test_approximate_search_pairs_no_vectors(spark):
+    """The plan joins no queries with cells; with one cell the search is exact."""
+    r = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(80)], "article_id long, vec array<double>")
+    q = v.where("article_id % 8 = 0").withColumnRenamed("article_id", "query_id")
+    df = vectors.ivf_top_k(q, v, 3, recall=1.0, sample=10)
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {(x.query_id, x.article_id): x.score for x in df.collect()}
+    want = {(x.query_id, x.article_id): round(x.score, 9) for x in vectors.top_k(q, v, 3).collect()}
+    assert got == pytest.approx(want)
+    assert vectors.ivf_top_k(q.limit(0), v, 3).count() == 0
