@@ -29,3 +29,19 @@ def test_user_vectors_make_no_row_per_dimension(spark):
     c = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "z"), (3, "none")], "impression_id long, article_id string")
     got = {r.impression_id: r.vec for r in vectors.user_vectors(c, v, F.when(F.col("article_id") == "b", 2.0).otherwise(1.0)).collect()}
     assert got == {1: pytest.approx([0.6, 0.8]), 2: [0.0, 0.0]} and math.hypot(*got[1]) == pytest.approx(1)
+
+
+def test_frame_repeats_no_window_per_feature(spark):
+    """One list per impression serves all history features; the frame's cosines are those of the pairs."""
+    from rankweave.operators import features
+    from rankweave.plans import base
+
+    log = base.basket_log(spark, D)
+    arts, vecs, clicks = base.articles(spark, D), base.vectors(spark, D), base.clicks(log)
+    f = features.frame(log, clicks, arts, vecs)
+    assert f._jdf.queryExecution().optimizedPlan().toString().count("collect_list(struct(no") <= 2
+    pairs = features.cosine_profiles(log, weighting.last_clicks(base.impressions(log), clicks), vecs)
+    names = [c for c in pairs.columns if c.startswith("hist_cos")]
+    key = lambda df: {(r.impression_id, r.article_id): [round(r[c], 9) for c in names] for r in df.collect()}
+    want = key(pairs)
+    assert want and key(f.where("hist_cos_last is not null").select("impression_id", "article_id", *names)) == want
