@@ -45,3 +45,12 @@ def test_frame_repeats_no_window_per_feature(spark):
     key = lambda df: {(r.impression_id, r.article_id): [round(r[c], 9) for c in names] for r in df.collect()}
     want = key(pairs)
     assert want and key(f.where("hist_cos_last is not null").select("impression_id", "article_id", *names)) == want
+
+
+def test_word_vectors_are_not_fitted_by_one_task(spark):
+    from rankweave.functions import text
+
+    docs = spark.createDataFrame([(i, ["red", "cat", f"w{i % 5}"]) for i in range(40)], "doc_id long, tokens array<string>")
+    model, apply = text.word_vectors(docs, "tokens", 4)
+    assert model.getOrDefault("numPartitions") > 1
+    assert all(len(r.vec) == 4 for r in apply(docs).collect())
